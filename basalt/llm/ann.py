@@ -24,9 +24,9 @@ class Settings:
     candidates reranked a meeting; rows and queries of a meeting at most; rows fitted on."""
 
     lists: int = 64
-    probes: int = 24
+    probes: int = 44
     parts: int = 16
-    rerank: int = 128
+    rerank: int = 192
     chunk: int = 8192
     block: int = 256
     sample: int = 20_000

@@ -51,10 +51,10 @@ def words(text: str) -> list[tuple[str, int, int]]:
 class Scanner:
     """Templates with their dictionaries; made once in each worker."""
 
-    def __init__(self, templates: dict[str, str], reach: float = 0.1, leaders: int = 6, level: int = 3):
+    def __init__(self, templates: dict[str, str], reach: float = 0.1, leaders: int = 12, level: int = 3):
         self.reach, self.leaders = reach, leaders
         self.plain = zstandard.ZstdCompressor(level=level)
-        self.sizes = {}
+        self.alone = {n: len(self.plain.compress(t.lower().encode())) for n, t in templates.items()}
         self.with_template = {}
         for name, text in templates.items():
             raw = zstandard.ZstdCompressionDict(text.lower().encode() * (1 + 16 // len(text)), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -112,16 +112,19 @@ class Scanner:
             block = text[lo:hi]
             raw = block.lower().encode()
             alone = len(self.plain.compress(raw))
-            ranked = sorted(((alone - len(c.compress(raw)), n) for n, c in self.with_template.items()), key=lambda x: (-x[0], x[1]))
+            saved_by = {n: alone - len(c.compress(raw)) for n, c in self.with_template.items()}
+            # Leaders by bytes saved, and by the share saved of what the template could save at most.
+            ranked = sorted(saved_by, key=lambda n: (-saved_by[n], n))[: self.leaders]
+            ranked += [n for n in sorted(saved_by, key=lambda n: (-saved_by[n] / self.alone[n], n))[: self.leaders] if n not in ranked]
             spots = words(block)
             bare = [w for w, _, _ in spots]
-            # Where several winners align, the one of more matching words holds the place.
+            # Where several winners align, the one of more words and fewer differences holds the place.
             hits = []
-            for saved, name in ranked[: self.leaders]:
-                t = self.words[name]
+            for name in ranked:
+                saved, t = saved_by[name], self.words[name]
                 d, a, b = self.differences(t, bare)
                 if saved > 0 and d <= len(t) * self.reach:
-                    hits.append((d - len(t), -saved, name, a, b, d))
+                    hits.append((3 * d - len(t), -saved, name, a, b, d))
             taken: list[tuple[int, int]] = []
             for _, saved, name, a, b, d in sorted(hits):
                 if all(b <= x or a >= y for x, y in taken):
