@@ -1,0 +1 @@
+"""The engine has no streaming statements: tables change by INSERT, UPDATE and DELETE snapshots only."""
