@@ -4,12 +4,12 @@
    class by a grouped aggregation over two 64-bit hashes.
 2. A class has a 64-bit SimHash over the ``FEATURES`` smallest distinct word hashes of its whole line
    (all words of an ordinary line; a content-defined sample of a very long one), counted in bit planes.
-3. Classes meet on pigeonhole blocks: one of the four 16-bit blocks, together with the first two or
-   the last two words. Fingerprints within Hamming distance 3 share a block for certain.
+3. Classes meet on pigeonhole blocks: 16 bits each, the first two together with the line's first two
+   words, the others with its last two. Fingerprints within Hamming distance 3 share a block for certain.
 4. Members of a block are compared with its smallest member; those that stay in other components are
    compared with each other if their fingerprints are within ``hamming`` bits.
 5. Edit similarity 1 - distance / longer length confirms a pair: over characters, or for lines of more
-   than ``LONG`` characters over words (one code character for each word).
+   than ``LONG`` characters over words (one of ``CODES`` characters stands for each word).
 6. One occurrence of each connected group stays: the one of smallest (doc id, line number).
 """
 
@@ -24,17 +24,17 @@ from basalt.llm._scratch import Scratch
 #: Words in a fingerprint; five bit planes count to it.
 FEATURES = 31
 PLANES = 5
-#: Characters beyond which edits are counted in words.
-LONG = 1024
+#: Characters beyond which edits are counted in words, and the characters that stand for words.
+LONG = 160
+CODES = 94
 
 
 def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def simhash(words: Column) -> Column:
-    """64-bit majority of the bits of the smallest distinct word hashes."""
-    hashes = F.slice(F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))), 1, FEATURES)
+def bit_planes(hashes: Column) -> Column:
+    """How often each of the 64 bits is set among the hashes, as PLANES binary digits."""
 
     def add(planes, h):
         carry, out = h, []
@@ -43,25 +43,27 @@ def simhash(words: Column) -> Column:
             carry = planes[f"c{i}"].bitwiseAND(carry)
         return F.struct(*out)
 
-    def majority(planes):
-        half = F.floor(planes["n"] / 2).cast("long")
-        more, equal = F.lit(0).cast("long"), F.lit(-1).cast("long")
-        for i in reversed(range(PLANES)):
-            t = F.when(half.bitwiseAND(F.lit(1 << i)) != 0, F.lit(-1)).otherwise(F.lit(0)).cast("long")
-            p = planes["planes"][f"c{i}"]
-            more = more.bitwiseOR(equal.bitwiseAND(p).bitwiseAND(F.bitwise_not(t)))
-            equal = equal.bitwiseAND(F.bitwise_not(p.bitwiseXOR(t)))
-        return more
+    return F.aggregate(hashes, F.struct(*(F.lit(0).cast("long").alias(f"c{i}") for i in range(PLANES))), add)
 
-    zero = F.struct(*(F.lit(0).cast("long").alias(f"c{i}") for i in range(PLANES)))
-    counted = F.struct(F.aggregate(hashes, zero, add).alias("planes"), F.least(F.size(F.array_distinct(words)), F.lit(FEATURES)).alias("n"))
-    return F.transform(F.array(counted), majority)[0]
+
+def majority(planes: Column, n: Column) -> Column:
+    """The bits set in more than half of n hashes."""
+    half = F.floor(n / 2).cast("int")
+    more, equal = F.lit(0).cast("long"), F.lit(-1).cast("long")
+    for i in reversed(range(PLANES)):
+        t = F.when(half.bitwiseAND(F.lit(1 << i)) != 0, F.lit(-1)).otherwise(F.lit(0)).cast("long")
+        p = planes[f"c{i}"]
+        more = more.bitwiseOR(equal.bitwiseAND(p).bitwiseAND(F.bitwise_not(t)))
+        equal = equal.bitwiseAND(F.bitwise_not(p.bitwiseXOR(t)))
+    return more
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc_id, line_no, norm) of the lines of at least ``min_words`` words."""
-    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
-    return cut.select("doc_id", "line_no", normalised(F.col("line")).alias("norm")).where(F.length(F.regexp_replace("norm", "[^ ]", "")) >= min_words - 1).where("norm <> ''")
+    """(doc_id, line_no, norm, words) of the lines of at least ``min_words`` words."""
+    # Normalised inside the array: a filter on an exploded column is not pushed into the expression again.
+    whole = F.transform(F.split(F.col(text_col).cast("string"), "\n"), normalised)
+    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(whole).alias("line_no", "norm"))
+    return cut.where("norm <> ''").withColumn("words", F.split("norm", " ")).where(F.size("words") >= min_words)
 
 
 def _close(p: Column, q: Column, share: float) -> Column:
@@ -79,40 +81,40 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and is not listed. An empty table gives no rows.
     """
     work = Scratch(docs.sparkSession, "line-dedup")
-    parsed = lines(docs, id_col, text_col, min_words)
-    words = F.split("norm", " ")
     end = lambda w: F.xxhash64(F.array_join(w, " "))
-    seen = work.table(
-        parsed.select(
-            "doc_id", "line_no", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(7), "norm").alias("k2"), F.length("norm").alias("n"),
-            simhash(words).alias("sim"), end(F.slice(words, 1, 2)).alias("head"), end(F.slice(words, -2, 2)).alias("tail"),
-        ),
-        "lines",
+    seen = lines(docs, id_col, text_col, min_words).select(
+        "doc_id", "line_no", "norm", F.length("norm").alias("n"), F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(7), "norm").alias("k2"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), end(F.slice("words", 1, 2)).alias("head"), end(F.slice("words", -2, 2)).alias("tail"),
     )
-    classes = work.table(seen.groupBy("k1", "k2").agg(F.count("*").alias("times"), F.min("doc_id").alias("at"), F.min("n").alias("n"), F.min("sim").alias("sim"), F.min("head").alias("head"), F.min("tail").alias("tail")), "classes")
+    coded = F.array_join(F.transform("hashes", lambda h: F.chr(F.pmod(h, F.lit(CODES)) + 33)), "")
+    seen = seen.withColumn("sig", F.when(F.col("n") <= LONG, F.col("norm")).otherwise(coded)).withColumn("few", F.slice(F.sort_array(F.array_distinct("hashes")), 1, FEATURES))
+    seen = seen.withColumn("planes", bit_planes(F.col("few"))).withColumn("size", F.size("few"))
+    seen = work.table(seen.select("doc_id", "line_no", "k1", "k2", "n", majority(F.col("planes"), F.col("size")).alias("sim"), "head", "tail", "sig"), "lines")
+    classes = work.table(seen.groupBy("k1", "k2").agg(F.count("*").alias("times"), F.min("n").alias("n"), F.min("sim").alias("sim"), F.min("head").alias("head"), F.min("tail").alias("tail")), "classes")
 
     block = lambda j: F.shiftrightunsigned("sim", 16 * j).bitwiseAND(F.lit(0xFFFF))
-    keys = F.array(*(F.xxhash64(F.lit(j), F.lit(e), block(j), F.col(e)) for j in range(4) for e in ("head", "tail")))
-    banded = classes.select(F.col("k1").alias("id"), "n", "sim", F.explode(keys).alias("key"))
+    keys = F.array(*(F.xxhash64(F.lit(j), block(j), F.col("head" if j < 2 else "tail")) for j in range(4)))
+    banded = classes.select(F.col("k1").alias("id"), F.explode(keys).alias("key"))
     hubs = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top")
-    members = work.table(banded.join(hubs.drop("top"), "key"), "members")
-    info = members.select("id", "n", "sim").dropDuplicates(["id"])
+    members = work.table(banded.join(hubs.drop("top"), "key"), "met")
+    info = classes.select(F.col("k1").alias("id"), "n", "sim").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    info = work.table(info, "info")
+    members = members.join(info, "id")
 
-    # The whole lines of the classes that share a block, read again from the documents that hold one.
-    wanted = work.table(classes.join(info.select(F.col("id").alias("k1")), "k1", "left_semi").select("k1", "k2", "at"), "wanted")
-    homes = docs.join(wanted.select(F.col("at").alias(id_col)).distinct(), id_col, "left_semi")
-    texts = lines(homes, id_col, text_col, min_words).select(F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(7), "norm").alias("k2"), "norm")
-    texts = work.table(texts.join(wanted.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1").agg(F.min("norm").alias("norm")).select(F.col("k1").alias("id"), "norm"), "texts")
+    # What edits are counted on, for the classes that share a block.
+    texts = seen.select(F.col("k1").alias("id"), "sig").join(info.select("id"), "id", "left_semi").groupBy("id").agg(F.min("sig").alias("sig"))
+    texts = work.table(texts, "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = pairs.join(texts.toDF("src", "one"), "src")
         both = left.join(texts.toDF("dst", "two"), "dst")
-        return both.where(close_pair("one", "two", share)).select("src", "dst")
+        return both.where(_close(F.col("one"), F.col("two"), share)).select("src", "dst")
 
     apart = F.bit_count(F.col("sim1").bitwiseXOR(F.col("sim2"))) <= hamming
-    sized = F.abs(F.col("n1") - F.col("n2")) <= F.greatest("n1", "n2") * (1 - share) + 1
+    # A short and a long line have different kinds of signature; they are not compared.
+    alike = apart & ((F.col("n1") <= LONG) == (F.col("n2") <= LONG))
     other = info.select(F.col("id").alias("hub"), F.col("n").alias("n2"), F.col("sim").alias("sim2"))
-    first = members.where("id <> hub").select("id", "hub", F.col("n").alias("n1"), F.col("sim").alias("sim1")).distinct().join(other, "hub").where(apart & (sized | (F.greatest("n1", "n2") > LONG)))
+    first = members.where("id <> hub").select("id", "hub", F.col("n").alias("n1"), F.col("sim").alias("sim1")).distinct().join(other, "hub").where(alike)
     tried = work.table(first.select(F.col("id").alias("src"), F.col("hub").alias("dst")), "pairs-1")
     links = work.table(confirmed(tried), "links-1")
 
@@ -121,7 +123,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_ = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     mixed = mixed.join(open_.select("key"), "key")
     one, two = (mixed.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("id", "n", "sim", "comp"))) for i in (1, 2))
-    across = one.join(two, "key").where((F.col("id1") > F.col("id2")) & (F.col("comp1") != F.col("comp2")) & apart & (sized | (F.greatest("n1", "n2") > LONG)))
+    across = one.join(two, "key").where((F.col("id1") > F.col("id2")) & (F.col("comp1") != F.col("comp2")) & alike)
     across = across.select(F.col("id1").alias("src"), F.col("id2").alias("dst")).distinct().join(tried, ["src", "dst"], "left_anti")
     links = work.table(links.union(confirmed(work.table(across, "pairs-2"))), "links-2")
     found = connected_components(links, work, "cc-2")
@@ -135,13 +137,6 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.select("doc_id", "line_no").where("doc_id is not null").distinct()
 
 
-def close_pair(a: str, b: str, share: float) -> Column:
-    """Edit similarity of two normalised lines at or above ``share``."""
-    x, y = F.col(a), F.col(b)
-    code = lambda c: F.decode(F.unhex(F.array_join(F.transform(F.split(c, " "), lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(20902)) + 19968)), "")), "UTF-16BE")
-    return F.when(F.greatest(F.length(x), F.length(y)) <= LONG, _close(x, y, share)).otherwise(_close(code(x), code(y), share))
-
-
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, share: float = 0.9, hamming: int = 12) -> DataFrame:
     """``docs``, all columns and rows, with the repeated lines taken out of the text, and two new
     columns: ``removed`` (array of line numbers, null if none) and ``emptied`` (lines were taken out
