@@ -134,7 +134,8 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = 0.06, id_col: str = "
 
 def without_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.06, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that leak no item; one pass, no shuffle."""
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))  # any name may come, dotted ones too
     for block in _passes(items, item_col, item_text):
         matcher = _Lazy(block, rate)
 
@@ -143,7 +144,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.06, text_co
                 yield batch.filter(pa.array([not matcher.get().leaks(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.toDF(*names)
 
 
 class _Lazy:

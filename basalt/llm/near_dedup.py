@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Rows to classes (only classes with copies need the digest), classes to components.
     copied = classes.where("copies > 1").select(*same, "rep")
-    whole = rows.drop("keys").join(copied, same, "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
+    whole = rows.drop("keys").join(copied, same, "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id")))
     out = whole.join(found, "rep", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     least = out.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("times")).where("times > 1")
     out = out.join(least.drop("times"), "doc_id", "left").withColumn("component_id", F.coalesce("least", "component_id")).drop("least")
