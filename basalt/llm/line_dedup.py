@@ -3,7 +3,7 @@
 1. Lines are normalised (lower case, letters and digits, one blank between words); equal ones form a
    class by a grouped aggregation over two 64-bit hashes.
 2. A class has a 64-bit SimHash over the ``FEATURES`` smallest distinct word hashes of its whole line
-   (all words of an ordinary line; a content-defined sample of a very long one), counted in bit planes.
+   (all words of a short line; of a longer one a sample that its content alone decides), in bit planes.
 3. Classes meet on pigeonhole blocks: 16 bits each, the first two together with the line's first two
    words, the others with its last two. Fingerprints within Hamming distance 3 share a block for certain.
 4. Members of a block are compared with its smallest member; those that stay in other components are
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from basalt.llm._graph import connected_components
 from basalt.llm._scratch import Scratch
 
-#: Words in a fingerprint; five bit planes count to it.
-FEATURES = 31
-PLANES = 5
+#: Words in a fingerprint; four bit planes count to it.
+FEATURES = 15
+PLANES = 4
 #: Characters beyond which edits are counted in words, and the characters that stand for words.
 LONG = 160
 CODES = 94
@@ -81,10 +81,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and is not listed. An empty table gives no rows.
     """
     work = Scratch(docs.sparkSession, "line-dedup")
-    end = lambda w: F.xxhash64(F.array_join(w, " "))
     seen = lines(docs, id_col, text_col, min_words).select(
         "doc_id", "line_no", "norm", F.length("norm").alias("n"), F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(7), "norm").alias("k2"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), end(F.slice("words", 1, 2)).alias("head"), end(F.slice("words", -2, 2)).alias("tail"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), F.xxhash64(F.substring_index("norm", " ", 2)).alias("head"), F.xxhash64(F.substring_index("norm", " ", -2)).alias("tail"),
     )
     coded = F.array_join(F.transform("hashes", lambda h: F.chr(F.pmod(h, F.lit(CODES)) + 33)), "")
     seen = seen.withColumn("sig", F.when(F.col("n") <= LONG, F.col("norm")).otherwise(coded)).withColumn("few", F.slice(F.sort_array(F.array_distinct("hashes")), 1, FEATURES))
