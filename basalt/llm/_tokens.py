@@ -16,7 +16,7 @@ from array import array
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct words that a worker remembers; beyond it the cache starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 _encoders: dict[str, "Encoder"] = {}
 _separators = re.compile("[\x00\x1c-\x1f]")
 
@@ -75,7 +75,7 @@ class Encoder:
         return [b"".join(map(get, k)) if k is not None else ids(self.tokenizer.encode(t, add_special_tokens=False)) for k, t in zip(keys, texts)]
 
 
-def groups(texts: list[str], size: int = 1 << 20):
+def groups(texts: list[str], size: int = 1 << 22):
     """Slices (lo, hi) of about ``size`` characters."""
     lo = total = 0
     for i, t in enumerate(texts):

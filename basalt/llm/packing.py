@@ -70,8 +70,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_
         enc, part, seen = encoder(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for s in range(0, batch.num_rows, 1024):
-                ids, texts = (c.to_pylist() for c in batch.slice(s, 1024).columns)
+            for s in range(0, batch.num_rows, 2048):
+                ids, texts = (c.to_pylist() for c in batch.slice(s, 2048).columns)
                 texts, rows = [t or "" for t in texts], []
                 for lo, hi in groups(texts):
                     for doc_id, raw in zip(ids[lo:hi], enc.encode(texts[lo:hi])):

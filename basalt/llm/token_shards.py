@@ -134,8 +134,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
         shard = TaskContext.get().partitionId()
         total = n = 0
         for batch in batches:
-            for s in range(0, batch.num_rows, 1024):
-                ids, texts = (c.to_pylist() for c in batch.slice(s, 1024).columns[:2])
+            for s in range(0, batch.num_rows, 2048):
+                ids, texts = (c.to_pylist() for c in batch.slice(s, 2048).columns[:2])
                 texts = [t or "" for t in texts]
                 for lo, hi in groups(texts):
                     for doc_id, raw in zip(ids[lo:hi], enc.encode(texts[lo:hi])):
