@@ -119,7 +119,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 
 
 def _hopeful(pairs: DataFrame, sketch: Sketch, floor: float) -> DataFrame:
-    """Drops pairs whose registers put the joint estimate far (5 sigma) below the threshold."""
+    """Drops pairs whose registers put the joint estimate far below the threshold."""
 
     def run(batches):
         for batch in batches:
@@ -147,21 +147,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Buckets with more than one class; from here on only classes that share a bucket matter.
     banded = classes.select(F.col("rep").alias("id"), "n", F.posexplode("keys").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    members = work.table(banded.join(buckets, ["band", "key"]).select("band", "key", "id", "n", "hub"), "members")
+    members = work.table(banded.join(buckets, ["band", "key"]).select("band", "key", "id", "n", "hub", "size"), "members")
     wanted = members.select("id").distinct()
     texts = docs.join(wanted.withColumnRenamed("id", id_col), id_col, "left_semi")
     sets = work.table(shingle_table(texts, id_col, text_col, k, None).dropDuplicates(["id"]), "sets")
 
-    # Smallest hub of each member, then every other hub in another component.
+    # Smallest hub of each member; then, in another component, each bucket's member that meets most
+    # others: the text that a group's copies stem from is closer to them than they are to each other.
     tried = work.table(members.where("id <> hub").groupBy("id").agg(F.min("hub").alias("dst")).select(F.col("id").alias("src"), "dst"), "pairs-1")
     links = work.table(_confirmed(tried, sets, num, den), "links-1")
     for turn in (2, 3):
         found = connected_components(links, work, f"cc-{turn}")
         comp = work.table(members.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("comp")), f"comp-{turn}")
         if turn == 2:
-            far = members.where("id <> hub").select("id", "hub").distinct()
-            far = far.join(comp, "id").join(comp.select(F.col("id").alias("hub"), F.col("comp").alias("comp2")), "hub").where("comp <> comp2")
-            new = far.select(F.col("id").alias("src"), F.col("hub").alias("dst"))
+            score = members.groupBy("id").agg(F.sum("size").alias("score"))
+            central = members.join(score, "id").groupBy("band", "key").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("best")).select("band", "key", (-F.col("best.neg")).alias("center"))
+            far = members.select("band", "key", "id").join(central, ["band", "key"]).where("id <> center").select("id", "center").distinct()
+            far = far.join(comp, "id").join(comp.select(F.col("id").alias("center"), F.col("comp").alias("comp2")), "center").where("comp <> comp2")
+            new = far.select(F.col("id").alias("src"), F.col("center").alias("dst"))
         else:
             new = _across(members, comp, sets, classes, sketch, num, den)
         new = work.table(new.join(tried, ["src", "dst"], "left_anti"), f"pairs-{turn}")
@@ -181,22 +184,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _across(members: DataFrame, comp: DataFrame, sets: DataFrame, classes: DataFrame, sketch: Sketch, num: int, den: int) -> DataFrame:
     """Pairs of one bucket that still lie in different components and may pass.
 
-    A class shares at most ``free`` of its shingles with any other (the rest occur nowhere else
-    among the classes that share a bucket with another component), so den * i >= num * (n1 + n2 - i)
-    with i <= min(free1, free2) bounds a pair exactly, before any set is read.
+    A class shares at most ``free`` of its shingles with a class of another component (the rest occur
+    in its own component only), so den * i >= num * (n1 + n2 - i) with i <= min(free1, free2) bounds a
+    pair exactly.
     """
+    floor = num / den - 3.5 * (num / den * (1 - num / den) / sketch.m) ** 0.5
     mixed = members.join(comp, "id")
     open_ = mixed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     mixed = mixed.join(open_, ["band", "key"]).select("band", "key", "id", "n", "comp")
-    shared = sets.join(mixed.select("id").distinct(), "id", "left_semi").select("id", F.explode("shingles").alias("x"))
-    df = shared.groupBy("x").agg(F.count("*").alias("df"), F.min("id").alias("id"))
-    lonely = df.where("df = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    shared = sets.join(mixed.select("id", "comp").distinct(), "id").select("id", "comp", F.explode("shingles").alias("x"))
+    home = shared.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo = hi").select("x")
+    lonely = shared.join(home, "x").groupBy("id").agg(F.count("*").alias("alone"))
     mixed = mixed.join(lonely, "id", "left").withColumn("free", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("free") * den >= F.col("n") * num)
-    one = mixed.select("band", "key", *(F.col(c).alias(f"{c}1") for c in ("id", "n", "comp", "free")))
-    two = mixed.select("band", "key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "comp", "free")))
+    mixed = mixed.join(classes.select(F.col("rep").alias("id"), "keys"), "id")
+    one, two = (mixed.select("band", "key", *(F.col(c).alias(f"{c}{i}") for c in ("id", "n", "comp", "free", "keys"))) for i in (1, 2))
     most = F.least("free1", "free2")
-    pairs = one.join(two, ["band", "key"]).where((F.col("id1") > F.col("id2")) & (F.col("comp1") != F.col("comp2")) & (most * den >= (F.col("n1") + F.col("n2") - most) * num))
-    pairs = pairs.select(F.col("id1").alias("src"), F.col("id2").alias("dst"), "n1", "n2").distinct()
-    keys = classes.select(F.col("rep").alias("id"), "keys")
-    pairs = pairs.join(keys.toDF("src", "k1"), "src").join(keys.toDF("dst", "k2"), "dst")
-    return _hopeful(pairs, sketch, num / den - 0.2)
+    may = (F.col("id1") > F.col("id2")) & (F.col("comp1") != F.col("comp2")) & (most * den >= (F.col("n1") + F.col("n2") - most) * num)
+    # Each pair once, in the first band it shares, and only if enough registers agree (about J of them do).
+    may = may & _first_common("keys1", "keys2", "band") & (_equal_registers("keys1", "keys2") >= int(sketch.m * floor))
+    pairs = one.join(two, ["band", "key"]).where(may)
+    return _hopeful(pairs.select(F.col("id1").alias("src"), F.col("id2").alias("dst"), F.col("n1"), F.col("n2"), F.col("keys1").alias("k1"), F.col("keys2").alias("k2")), sketch, floor)
+
+
+def _first_common(a: str, b: str, band: str):
+    return F.array_position(F.zip_with(a, b, lambda x, y: x == y), True) == F.col(band) + 1
+
+
+def _equal_registers(a: str, b: str):
+    """How many 16-bit registers two arrays of band keys have in common."""
+    lanes = lambda x: sum((F.when(F.shiftright(x, 16 * j).bitwiseAND(F.lit(0xFFFF)) == 0, 1).otherwise(0) for j in range(4)), F.lit(0))
+    return F.aggregate(F.zip_with(a, b, lambda x, y: lanes(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
