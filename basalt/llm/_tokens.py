@@ -13,8 +13,12 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+#: New words that are encoded as one text.
+RUN_WORDS = 4096
 #: Distinct words that a worker remembers; beyond it the cache starts afresh.
 CACHE_WORDS = 1_000_000
 _encoders: dict[str, "Encoder"] = {}
@@ -35,6 +39,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cache: dict[str, bytes] = {}
+        self.opens: np.ndarray | None = None
         spec = json.loads(self.tokenizer.to_str())
         pre = spec["pre_tokenizer"] or {}
         steps = pre.get("pretokenizers", [])
@@ -60,6 +65,30 @@ class Encoder:
     def _plain(self, key: str) -> str:
         return key if self.dropped or key[0] == "\n" else key[1:] if key[0] == "\x00" else " " + key
 
+    def _learn(self, need: list[str]) -> None:
+        """Puts the ids of the words into the cache.
+
+        Words that follow a blank are encoded many at a time: a token begins with the blank byte where a
+        word begins, and nowhere else. If the counts differ, each of the words is encoded alone.
+        """
+        ids = lambda e: array("I", e.ids).tobytes()
+        if self.joined:
+            if self.opens is None:
+                self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.tokenizer.get_vocab_size())])
+            alone = [k for k in need if k[0] in "\x00\n"]
+            after = [k for k in need if k[0] not in "\x00\n"]
+            for s in range(0, len(after), RUN_WORDS):
+                part = after[s : s + RUN_WORDS]
+                row = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                at = np.flatnonzero(self.opens[row])
+                if len(at) != len(part) or at[0]:
+                    alone += part
+                    continue
+                raw, cuts = row.tobytes(), [*(4 * at).tolist(), 4 * len(row)]
+                self.cache.update(zip(part, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
+            need = alone
+        self.cache.update(zip(need, map(ids, self.tokenizer.encode_batch_fast([self._plain(k) for k in need], add_special_tokens=False))))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         ids = lambda e: array("I", e.ids).tobytes()
@@ -70,7 +99,7 @@ class Encoder:
             self.cache.clear()
             need = list(every)
         if need:
-            self.cache.update(zip(need, map(ids, self.tokenizer.encode_batch_fast([self._plain(k) for k in need], add_special_tokens=False))))
+            self._learn(need)
         get = self.cache.__getitem__
         return [b"".join(map(get, k)) if k is not None else ids(self.tokenizer.encode(t, add_special_tokens=False)) for k, t in zip(keys, texts)]
 
