@@ -28,17 +28,19 @@ from basalt.llm._words import mix, shingle_sets, utf8, word_hashes
 
 @dataclass(frozen=True)
 class Sketch:
-    """SetSketch parameters: rate a, base b, largest register q + 1, and the banding."""
+    """SetSketch parameters: rate a, base b, largest register q + 1, the banding, and the number of
+    registers beyond the bands (a multiple of 4), which only make the joint estimate sharper."""
 
     a: float = 20.0
     b: float = 1.001
     q: int = 65534
     bands: int = 25
     rows: int = 4
+    extra: int = 200
 
     @property
     def m(self) -> int:
-        return self.bands * self.rows
+        return self.bands * self.rows + self.extra
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng(977)
@@ -87,7 +89,7 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, k: int, sketch: S
                     if len(x):
                         keys.append(sketch.registers(x, factor, shift))
                 flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-                at = np.cumsum([0, *(sketch.bands * (c > 0) for c in n)])
+                at = np.cumsum([0, *(sketch.m // 4 * (c > 0) for c in n)])
                 d = np.array(d, np.uint64).view(np.int64).reshape(-1, 2)
                 yield pa.record_batch(
                     [part.column(0), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))],
@@ -145,7 +147,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = work.table(rows.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"), F.count("*").alias("copies")), "classes")
 
     # Buckets with more than one class; from here on only classes that share a bucket matter.
-    banded = classes.select(F.col("rep").alias("id"), "n", F.posexplode("keys").alias("band", "key"))
+    banded = classes.select(F.col("rep").alias("id"), "n", F.posexplode(F.slice("keys", 1, sketch.bands)).alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
     members = work.table(banded.join(buckets, ["band", "key"]).select("band", "key", "id", "n", "hub", "size"), "members")
     wanted = members.select("id").distinct()
@@ -188,7 +190,7 @@ def _across(members: DataFrame, comp: DataFrame, sets: DataFrame, classes: DataF
     in its own component only), so den * i >= num * (n1 + n2 - i) with i <= min(free1, free2) bounds a
     pair exactly.
     """
-    floor = num / den - 3.5 * (num / den * (1 - num / den) / sketch.m) ** 0.5
+    floor = num / den - 5 * (num / den * (1 - num / den) / sketch.m) ** 0.5
     mixed = members.join(comp, "id")
     open_ = mixed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     mixed = mixed.join(open_, ["band", "key"]).select("band", "key", "id", "n", "comp")
