@@ -173,8 +173,9 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
+    # A stated number of tasks: the rows of the manifest are few bytes and would be coalesced into one.
     based = before(manifest, "shard", "ids", "base").select("shard", "base")
-    return based.repartition("shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return based.repartition(max(manifest.count(), 1), "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str, DataFrame]:
