@@ -7,7 +7,8 @@
 3. Classes meet on pigeonhole blocks: 16 bits each, the first two together with the line's first two
    words, the others with its last two. Fingerprints within Hamming distance 3 share a block for certain.
 4. Members of a block are compared with its smallest member; those that stay in other components are
-   compared with each other if their fingerprints are within ``hamming`` bits.
+   compared with each other, each pair in the first block it shares, if their fingerprints are within
+   ``hamming`` bits and their lengths do not rule it out.
 5. Edit similarity 1 - distance / longer length confirms a pair: over characters, or for lines of more
    than ``LONG`` characters over words (one of ``CODES`` characters stands for each word).
 6. One occurrence of each connected group stays: the one of smallest (doc id, line number).
@@ -72,15 +73,15 @@ def _close(p: Column, q: Column, share: float) -> Column:
     return F.when(F.abs(F.length(p) - F.length(q)) > most, F.lit(False)).otherwise(F.levenshtein(p, q) <= most)
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, share: float = 0.9, hamming: int = 12) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, share: float = 0.9, hamming: int = 12, work: Scratch | None = None) -> DataFrame:
     """(doc_id, line_no) of every line of which an equal or similar one stays elsewhere.
 
     Lines of fewer than ``min_words`` words, blank lines and null or empty texts lose nothing. The
     lines of rows with a null id are compared like others; a null id sorts first, so its lines stay.
     Of rows that repeat an id, the lines of equal number are told apart by nothing: the first stays
-    and is not listed. An empty table gives no rows.
+    and is not listed. An empty table gives no rows. The result reads the table ``occurs`` of ``work``.
     """
-    work = Scratch(docs.sparkSession, "line-dedup")
+    work = work or Scratch(docs.sparkSession, "line-dedup")
     seen = lines(docs, id_col, text_col, min_words).select(
         "doc_id", "line_no", "norm", F.length("norm").alias("n"), F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(7), "norm").alias("k2"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), F.xxhash64(F.substring_index("norm", " ", 2)).alias("head"), F.xxhash64(F.substring_index("norm", " ", -2)).alias("tail"),
@@ -88,15 +89,16 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     coded = F.array_join(F.transform("hashes", lambda h: F.chr(F.pmod(h, F.lit(CODES)) + 33)), "")
     seen = seen.withColumn("sig", F.when(F.col("n") <= LONG, F.col("norm")).otherwise(coded)).withColumn("few", F.slice(F.sort_array(F.array_distinct("hashes")), 1, FEATURES))
     seen = seen.withColumn("planes", bit_planes(F.col("few"))).withColumn("size", F.size("few"))
-    seen = work.table(seen.select("doc_id", "line_no", "k1", "k2", "n", majority(F.col("planes"), F.col("size")).alias("sim"), "head", "tail", "sig"), "lines")
-    classes = work.table(seen.groupBy("k1", "k2").agg(F.count("*").alias("times"), F.min("n").alias("n"), F.min("sim").alias("sim"), F.min("head").alias("head"), F.min("tail").alias("tail")), "classes")
+    seen = work.table(seen.select("doc_id", "line_no", "k1", "k2", "n", majority(F.col("planes"), F.col("size")).alias("sim"), "head", "tail", F.length("sig").alias("edits"), "sig"), "lines")
+    classes = work.table(seen.groupBy("k1", "k2").agg(F.count("*").alias("times"), F.min("n").alias("n"), F.min("sim").alias("sim"), F.min("head").alias("head"), F.min("tail").alias("tail"), F.min("edits").alias("edits")), "classes")
 
-    block = lambda j: F.shiftrightunsigned("sim", 16 * j).bitwiseAND(F.lit(0xFFFF))
-    keys = F.array(*(F.xxhash64(F.lit(j), block(j), F.col("head" if j < 2 else "tail")) for j in range(4)))
-    banded = classes.select(F.col("k1").alias("id"), F.explode(keys).alias("key"))
+    block = lambda j, sim="sim": F.shiftrightunsigned(sim, 16 * j).bitwiseAND(F.lit(0xFFFF))
+    side = lambda j: "head" if j < 2 else "tail"
+    keys = F.array(*(F.xxhash64(F.lit(j), block(j), F.col(side(j))) for j in range(4)))
+    banded = classes.select(F.col("k1").alias("id"), F.posexplode(keys).alias("band", "key"))
     hubs = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top")
     members = work.table(banded.join(hubs.drop("top"), "key"), "met")
-    info = classes.select(F.col("k1").alias("id"), "n", "sim").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    info = classes.select(F.col("k1").alias("id"), "n", "sim", "edits", "head", "tail").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     info = work.table(info, "info")
     members = members.join(info, "id")
 
@@ -112,17 +114,22 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     apart = F.bit_count(F.col("sim1").bitwiseXOR(F.col("sim2"))) <= hamming
     # A short and a long line have different kinds of signature; they are not compared.
     alike = apart & ((F.col("n1") <= LONG) == (F.col("n2") <= LONG))
-    other = info.select(F.col("id").alias("hub"), F.col("n").alias("n2"), F.col("sim").alias("sim2"))
-    first = members.where("id <> hub").select("id", "hub", F.col("n").alias("n1"), F.col("sim").alias("sim1")).distinct().join(other, "hub").where(alike)
+    # Lengths that differ by more than the edits allowed can't pass _close.
+    alike = alike & (F.abs(F.col("edits1") - F.col("edits2")) <= F.floor(F.greatest("edits1", "edits2") * (1 - share) + 1e-9))
+    other = info.select(F.col("id").alias("hub"), F.col("n").alias("n2"), F.col("sim").alias("sim2"), F.col("edits").alias("edits2"))
+    first = members.where("id <> hub").select("id", "hub", F.col("n").alias("n1"), F.col("sim").alias("sim1"), F.col("edits").alias("edits1")).distinct().join(other, "hub").where(alike)
     tried = work.table(first.select(F.col("id").alias("src"), F.col("hub").alias("dst")), "pairs-1")
     links = work.table(confirmed(tried), "links-1")
 
     comp = members.select("id").distinct().join(connected_components(links, work, "cc-1"), "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
-    mixed = members.select("key", "id", "n", "sim").join(work.table(comp, "comp"), "id")
+    mixed = members.select("band", "key", "id", "n", "sim", "edits", "head", "tail").join(work.table(comp, "comp"), "id")
     open_ = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     mixed = mixed.join(open_.select("key"), "key")
-    one, two = (mixed.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("id", "n", "sim", "comp"))) for i in (1, 2))
-    across = one.join(two, "key").where((F.col("id1") > F.col("id2")) & (F.col("comp1") != F.col("comp2")) & alike)
+    one, two = (mixed.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("band", "id", "n", "sim", "edits", "head", "tail", "comp"))) for i in (1, 2))
+    before = F.lit(False)
+    for j in range(3):
+        before = before | ((F.col("band1") > j) & (block(j, "sim1") == block(j, "sim2")) & (F.col(f"{side(j)}1") == F.col(f"{side(j)}2")))
+    across = one.join(two, "key").where((F.col("id1") > F.col("id2")) & (F.col("comp1") != F.col("comp2")) & alike & ~before)
     across = across.select(F.col("id1").alias("src"), F.col("id2").alias("dst")).distinct().join(tried, ["src", "dst"], "left_anti")
     links = work.table(links.union(confirmed(work.table(across, "pairs-2"))), "links-2")
     found = connected_components(links, work, "cc-2")
@@ -141,7 +148,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns: ``removed`` (array of line numbers, null if none) and ``emptied`` (lines were taken out
     and none of ``min_words`` words is left)."""
     work = Scratch(docs.sparkSession, "line-dedup-out")
-    gone = removed_lines(docs, id_col, text_col, min_words, share, hamming)
+    gone = removed_lines(docs, id_col, text_col, min_words, share, hamming, work)
     gone = work.table(gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed")), "removed").withColumnRenamed("doc_id", "_gone_id")
     out = docs.join(gone, F.col(id_col) == F.col("_gone_id"), "left").drop("_gone_id")
     kept = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(F.col("removed"), i))
