@@ -132,12 +132,16 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     across = one.join(two, "key").where((F.col("id1") > F.col("id2")) & (F.col("comp1") != F.col("comp2")) & alike & ~before)
     across = across.select(F.col("id1").alias("src"), F.col("id2").alias("dst")).distinct().join(tried, ["src", "dst"], "left_anti")
     links = work.table(links.union(confirmed(work.table(across, "pairs-2"))), "links-2")
+    for label in ("met", "info", "texts", "comp", "pairs-1", "pairs-2", "links-1"):
+        work.drop(label)
     found = connected_components(links, work, "cc-2")
 
     # Occurrences of every group of more than one line; all but the first go.
     grouped = classes.join(found.withColumnRenamed("id", "k1"), "k1", "left").where("times > 1 or component is not null")
     grouped = grouped.select("k1", "k2", F.coalesce("component", "k1").alias("g"), F.when(F.col("component").isNull(), F.col("k2")).alias("g2"))
     occurs = work.table(seen.select("doc_id", "line_no", "k1", "k2").join(grouped, ["k1", "k2"]).select("doc_id", "line_no", "g", "g2"), "occurs")
+    for label in ("lines", "classes", "links-2"):
+        work.drop(label)
     stays = occurs.groupBy("g", "g2").agg(F.min(F.struct("doc_id", "line_no")).alias("stay"))
     gone = occurs.join(stays, (occurs.g == stays.g) & occurs.g2.eqNullSafe(stays.g2)).where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("stay")))
     return gone.select("doc_id", "line_no").where("doc_id is not null").distinct()
@@ -150,6 +154,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     work = Scratch(docs.sparkSession, "line-dedup-out")
     gone = removed_lines(docs, id_col, text_col, min_words, share, hamming, work)
     gone = work.table(gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed")), "removed").withColumnRenamed("doc_id", "_gone_id")
+    work.drop("occurs")
     out = docs.join(gone, F.col(id_col) == F.col("_gone_id"), "left").drop("_gone_id")
     kept = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(F.col("removed"), i))
     out = out.withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
