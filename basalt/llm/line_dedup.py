@@ -34,29 +34,39 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def bit_planes(hashes: Column) -> Column:
-    """How often each of the 64 bits is set among the hashes, as PLANES binary digits."""
+def simhash(df: DataFrame, hashes: str, out: str) -> DataFrame:
+    """``df`` with the column ``out``: the bits set in more than half of at most FEATURES hashes.
 
-    def add(planes, h):
-        carry, out = h, []
-        for i in range(PLANES):
-            out.append(planes[f"c{i}"].bitwiseXOR(carry).alias(f"c{i}"))
-            carry = planes[f"c{i}"].bitwiseAND(carry)
-        return F.struct(*out)
-
-    return F.aggregate(hashes, F.struct(*(F.lit(0).cast("long").alias(f"c{i}") for i in range(PLANES))), add)
-
-
-def majority(planes: Column, n: Column) -> Column:
-    """The bits set in more than half of n hashes."""
-    half = F.floor(n / 2).cast("int")
-    more, equal = F.lit(0).cast("long"), F.lit(-1).cast("long")
+    Carry-save adders count all 64 bits at once. Each layer is a projection of its own, so Spark
+    compiles plain 64-bit operations and repeats none of them.
+    """
+    whole, zero = df.columns, F.lit(0).cast("long")
+    weights = [[f"_b0_{i}" for i in range(FEATURES)]] + [[] for _ in range(PLANES - 1)]
+    df = df.select(*whole, F.size(hashes).alias("_n"), *(F.coalesce(F.get(hashes, F.lit(i)), zero).alias(c) for i, c in enumerate(weights[0])))
+    turn = 0
+    while any(len(w) > 2 for w in weights):
+        turn += 1
+        after, made = [[] for _ in weights], []
+        for at, w in enumerate(weights):
+            for j in range(0, len(w) - len(w) % 3, 3):
+                x, y, z = (F.col(c) for c in w[j : j + 3])
+                either = x.bitwiseXOR(y)
+                made.append(either.bitwiseXOR(z).alias(f"_b{turn}_{at}_{j}"))
+                made.append(x.bitwiseAND(y).bitwiseOR(either.bitwiseAND(z)).alias(f"_b{turn}_{at}_{j}c"))
+                after[at].append(f"_b{turn}_{at}_{j}")
+                after[at + 1].append(f"_b{turn}_{at}_{j}c")
+            after[at] += w[len(w) - len(w) % 3 :]
+        carried = {c for w in after for c in w} & {c for w in weights for c in w}
+        df = df.select(*whole, "_n", *sorted(carried), *made)
+        weights = after
+    half = F.floor(F.col("_n") / 2).cast("int")
+    more, equal = zero, F.lit(-1).cast("long")
     for i in reversed(range(PLANES)):
         t = F.when(half.bitwiseAND(F.lit(1 << i)) != 0, F.lit(-1)).otherwise(F.lit(0)).cast("long")
-        p = planes[f"c{i}"]
+        p = F.col(weights[i][0])
         more = more.bitwiseOR(equal.bitwiseAND(p).bitwiseAND(F.bitwise_not(t)))
         equal = equal.bitwiseAND(F.bitwise_not(p.bitwiseXOR(t)))
-    return more
+    return df.select(*whole, more.alias(out))
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -70,7 +80,7 @@ def lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFr
 def _close(p: Column, q: Column, share: float) -> Column:
     longer = F.greatest(F.length(p), F.length(q))
     most = F.floor(longer * (1 - share) + 1e-9)
-    return F.when(F.abs(F.length(p) - F.length(q)) > most, F.lit(False)).otherwise(F.levenshtein(p, q) <= most)
+    return F.when(F.abs(F.length(p) - F.length(q)) > most, F.lit(False)).otherwise(F.call_function("levenshtein", p, q, most.cast("int")) >= 0)
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, share: float = 0.9, hamming: int = 12, work: Scratch | None = None) -> DataFrame:
@@ -88,8 +98,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     coded = F.array_join(F.transform("hashes", lambda h: F.chr(F.pmod(h, F.lit(CODES)) + 33)), "")
     seen = seen.withColumn("sig", F.when(F.col("n") <= LONG, F.col("norm")).otherwise(coded)).withColumn("few", F.slice(F.sort_array(F.array_distinct("hashes")), 1, FEATURES))
-    seen = seen.withColumn("planes", bit_planes(F.col("few"))).withColumn("size", F.size("few"))
-    seen = work.table(seen.select("doc_id", "line_no", "k1", "k2", "n", majority(F.col("planes"), F.col("size")).alias("sim"), "head", "tail", F.length("sig").alias("edits"), "sig"), "lines")
+    seen = simhash(seen.drop("norm", "hashes"), "few", "sim")
+    seen = work.table(seen.select("doc_id", "line_no", "k1", "k2", "n", "sim", "head", "tail", F.length("sig").alias("edits"), "sig"), "lines")
     classes = work.table(seen.groupBy("k1", "k2").agg(F.count("*").alias("times"), F.min("n").alias("n"), F.min("sim").alias("sim"), F.min("head").alias("head"), F.min("tail").alias("tail"), F.min("edits").alias("edits")), "classes")
 
     block = lambda j, sim="sim": F.shiftrightunsigned(sim, 16 * j).bitwiseAND(F.lit(0xFFFF))

@@ -378,7 +378,7 @@ def test_line_dedup_precision_and_recall(spark, docs):
 
 def test_line_simhash_is_a_majority(spark):
     hs = [[1, 3, 7], [-1, 0, 5], [9], [2**62, -(2**63), 2**62 + 1]]
-    df = spark.createDataFrame([(h,) for h in hs], "h array<bigint>").withColumn("p", line_dedup.bit_planes(F.col("h"))).select(line_dedup.majority(F.col("p"), F.size("h")).alias("m"))
+    df = line_dedup.simhash(spark.createDataFrame([(h,) for h in hs], "h array<bigint>"), "h", "m").select("m")
     bit = lambda x, i: (x & (1 << 64) - 1) >> i & 1
     want = [sum((sum(bit(x, i) for x in h) > len(h) // 2) << i for i in range(64)) for h in hs]
     assert [r.m & (1 << 64) - 1 for r in df.collect()] == want
