@@ -69,12 +69,18 @@ def simhash(df: DataFrame, hashes: str, out: str) -> DataFrame:
     return df.select(*whole, more.alias(out))
 
 
+def _at_least(norm: Column, words: int) -> Column:
+    """Whether a normalised line has so many words."""
+    return (norm != "") & (F.substring_index(norm, " ", words - 1) != norm)
+
+
 def lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(doc_id, line_no, norm, words) of the lines of at least ``min_words`` words."""
     # Normalised inside the array: a filter on an exploded column is not pushed into the expression again.
     whole = F.transform(F.split(F.col(text_col).cast("string"), "\n"), normalised)
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(whole).alias("line_no", "norm"))
-    return cut.where("norm <> ''").withColumn("words", F.split("norm", " ")).where(F.size("words") >= min_words)
+    # Told by a prefix: a filter on the array of words would be pushed down and cut every line twice.
+    return cut.where(_at_least(F.col("norm"), min_words)).withColumn("words", F.split("norm", " "))
 
 
 def _close(p: Column, q: Column, share: float) -> Column:
@@ -168,5 +174,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = docs.join(gone, F.col(id_col) == F.col("_gone_id"), "left").drop("_gone_id")
     kept = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(F.col("removed"), i))
     out = out.withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-    long_ = F.exists(F.split(text_col, "\n"), lambda x: F.size(F.split(normalised(x), " ")) >= min_words)
+    long_ = F.exists(F.split(text_col, "\n"), lambda x: _at_least(normalised(x), min_words))
     return out.withColumn("emptied", F.col("removed").isNotNull() & ~long_)
