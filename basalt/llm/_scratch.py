@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Only for a local master that names no folder (tests, notebooks).
 LOCAL_DEFAULT = "/tmp/checkpoints"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,8 +36,16 @@ class Scratch:
         return f"{self.root}/{label}"
 
     def table(self, df: DataFrame, label: str) -> DataFrame:
-        """Writes ``df`` and returns a DataFrame over the written files."""
-        df.write.mode("overwrite").parquet(self.path(label))
+        """Writes ``df`` and returns a DataFrame over the written files.
+
+        The shuffles of the write are of no use after it; Spark deletes their files at its end.
+        """
+        conf, old = self.spark.conf, self.spark.conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(label))
+        finally:
+            conf.set(CLEANUP, old)
         return self.spark.read.schema(df.schema).parquet(self.path(label))
 
     def drop(self, label: str) -> None:
