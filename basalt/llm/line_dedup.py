@@ -4,14 +4,18 @@
    class by a grouped aggregation over two 64-bit hashes.
 2. A class has a 64-bit SimHash over the ``FEATURES`` smallest distinct word hashes of its whole line
    (all words of a short line; of a longer one a sample that its content alone decides), in bit planes.
-3. Classes meet on pigeonhole blocks: 16 bits each, the first two together with the line's first two
-   words, the others with its last two. Fingerprints within Hamming distance 3 share a block for certain.
-4. Members of a block are compared with its smallest member; those that stay in other components are
-   compared with each other, each pair in the first block it shares, if their fingerprints are within
-   ``hamming`` bits and their lengths do not rule it out.
-5. Edit similarity 1 - distance / longer length confirms a pair: over characters, or for lines of more
+3. Classes meet on pigeonhole blocks: each of four blocks of 16 bits, once together with the line's first
+   two words and once with its last two. Only fingerprints within Hamming distance 3 of lines that have
+   the first or the last two words in common share such a key for certain.
+4. They also meet on words of the line itself (``word_keys``): a line of up to ``SHORT`` words on what is
+   left without one of its words, others on a run of nearly half the line at its start and at its end.
+   That finds any one changed, added or missing word, and changes of the first and last word together.
+5. Members of a key are compared with its smallest member; those that stay in other components are
+   compared with each other, each pair in the first key it shares, if their fingerprints are near
+   (``hamming`` bits on blocks, ``LOOSE`` more on runs) and their lengths do not rule it out.
+6. Edit similarity 1 - distance / longer length confirms a pair: over characters, or if one line has more
    than ``LONG`` characters over words (one of ``CODES`` characters stands for each word).
-6. One occurrence of each connected group stays: the one of smallest (doc id, line number).
+7. One occurrence of each connected group stays: the one of smallest (doc id, line number).
 """
 
 from __future__ import annotations
@@ -22,9 +26,14 @@ from pyspark.sql import functions as F
 from basalt.llm._graph import connected_components
 from basalt.llm._scratch import Scratch
 
-#: Words in a fingerprint; four bit planes count to it.
-FEATURES = 15
-PLANES = 4
+#: Words in a fingerprint; five bit planes count to it.
+FEATURES = 31
+PLANES = 5
+#: Words of a line that meets others without any one of them.
+SHORT = 8
+#: Words of a run, and bits that fingerprints of lines with a common run may differ in beyond ``hamming``.
+RUNS = (3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
+LOOSE = 8
 #: Characters beyond which edits are counted in words, and the characters that stand for words.
 LONG = 160
 CODES = 94
@@ -83,6 +92,28 @@ def lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFr
     return cut.where(_at_least(F.col("norm"), min_words)).withColumn("words", F.split("norm", " "))
 
 
+def _key(kind: int, value: Column) -> Column:
+    """A 64-bit key with its kind in the top bits: words left (2) sort before runs (3) and blocks (0)."""
+    return F.shiftrightunsigned(value, 2).bitwiseOR(F.lit(((kind + 2) % 4 - 2) << 62))
+
+
+def word_keys(hashes: str) -> Column:
+    """The keys of a line that stand for its words but a few, from its words' hashes."""
+    h, n = F.col(hashes), F.size(hashes)
+    # Position SHORT leaves no word out. Without both ends, two words at least must be left.
+    less = F.transform(F.sequence(F.lit(0), F.lit(SHORT)), lambda j: F.xxhash64(F.filter(h, lambda _, i: i != j)))
+    less = F.when(n >= 4, F.concat(less, F.array(F.xxhash64(F.slice(h, F.lit(2), F.greatest(n - 2, F.lit(1))))))).otherwise(less)
+    fits = lambda most: F.coalesce(*(F.when(most >= r, F.lit(r)) for r in reversed(RUNS)))
+    # The run of a line and of one that is a tenth shorter, so that both have one of equal length.
+    sizes = F.array(fits((n - 1) / 2), F.coalesce(fits((n * 0.9 - 2) / 2), F.lit(RUNS[0])))
+    run = lambda r, side, start: F.xxhash64(F.lit(side), F.slice(h, start, r))
+    runs = F.flatten(F.transform(sizes, lambda r: F.array(run(r, 0, F.lit(1)), run(r, 0, F.lit(2)), run(r, 1, n - r + 1), run(r, 1, n - r))))
+    keyed = lambda kind, keys: F.transform(keys, lambda k: _key(kind, k))
+    none = F.array().cast("array<bigint>")
+    # Lines of SHORT - 1 and SHORT words have both kinds, so that they meet shorter and longer ones.
+    return F.array_distinct(F.concat(F.when(n <= SHORT, keyed(2, less)).otherwise(none), F.when(n >= SHORT - 1, keyed(3, runs)).otherwise(none)))
+
+
 def _close(p: Column, q: Column, share: float) -> Column:
     longer = F.greatest(F.length(p), F.length(q))
     most = F.floor(longer * (1 - share) + 1e-9)
@@ -102,53 +133,61 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "doc_id", "line_no", "norm", F.length("norm").alias("n"), F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(7), "norm").alias("k2"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), F.xxhash64(F.substring_index("norm", " ", 2)).alias("head"), F.xxhash64(F.substring_index("norm", " ", -2)).alias("tail"),
     )
-    coded = F.array_join(F.transform("hashes", lambda h: F.chr(F.pmod(h, F.lit(CODES)) + 33)), "")
-    seen = seen.withColumn("sig", F.when(F.col("n") <= LONG, F.col("norm")).otherwise(coded)).withColumn("few", F.slice(F.sort_array(F.array_distinct("hashes")), 1, FEATURES))
-    seen = simhash(seen.drop("norm", "hashes"), "few", "sim")
-    seen = work.table(seen.select("doc_id", "line_no", "k1", "k2", "n", "sim", "head", "tail", F.length("sig").alias("edits"), "sig"), "lines")
-    classes = work.table(seen.groupBy("k1", "k2").agg(F.count("*").alias("times"), F.min("n").alias("n"), F.min("sim").alias("sim"), F.min("head").alias("head"), F.min("tail").alias("tail"), F.min("edits").alias("edits")), "classes")
-
-    block = lambda j, sim="sim": F.shiftrightunsigned(sim, 16 * j).bitwiseAND(F.lit(0xFFFF))
-    side = lambda j: "head" if j < 2 else "tail"
-    keys = F.array(*(F.xxhash64(F.lit(j), block(j), F.col(side(j))) for j in range(4)))
-    banded = classes.select(F.col("k1").alias("id"), F.posexplode(keys).alias("band", "key"))
-    hubs = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top")
-    members = work.table(banded.join(hubs.drop("top"), "key"), "met")
-    info = classes.select(F.col("k1").alias("id"), "n", "sim", "edits", "head", "tail").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    seen = seen.withColumn("few", F.slice(F.sort_array(F.array_distinct("hashes")), 1, FEATURES)).withColumn("near", word_keys("hashes"))
+    seen = seen.withColumn("codes", F.array_join(F.transform("hashes", lambda h: F.chr(F.pmod(h, F.lit(CODES)) + 33)), ""))
+    seen = simhash(seen.drop("hashes"), "few", "sim")
+    seen = work.table(seen.select("doc_id", "line_no", "k1", "k2", "n", "sim", "head", "tail", "near", "codes", F.when(F.col("n") <= LONG, F.col("norm")).alias("norm")), "lines")
+    classes = seen.groupBy("k1", "k2").agg(F.count("*").alias("times"), F.min("n").alias("n"), F.min(F.length("codes")).alias("words"), F.min("sim").alias("sim"), F.min("head").alias("head"), F.min("tail").alias("tail"), F.min("near").alias("near"))
+    classes = work.table(classes, "classes")
+
+    block = lambda j: F.shiftrightunsigned("sim", 16 * j).bitwiseAND(F.lit(0xFFFF))
+    blocks = F.array(*(_key(0, F.xxhash64(F.lit(f"{j}{side}"), block(j), F.col(side))) for j in range(4) for side in ("head", "tail")))
+    keys = F.array_distinct(F.concat("near", blocks))
+
+    def met(kind: str, of: Column) -> DataFrame:
+        """(key, id, hub) of the keys that more than one class has."""
+        banded = classes.select(F.col("k1").alias("id"), F.explode(of).alias("key"))
+        hubs = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top")
+        return work.table(banded.join(hubs.drop("top"), "key"), f"met-{kind}")
+
+    # One kind after the other: each has its own shuffle, deleted before the next.
+    members = met("blocks", blocks).union(met("words", F.col("near")))
+    info = classes.select(F.col("k1").alias("id"), "n", "words", "sim", keys.alias("keys")).join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     info = work.table(info, "info")
-    members = members.join(info, "id")
 
-    # What edits are counted on, for the classes that share a block.
-    texts = seen.select(F.col("k1").alias("id"), "sig").join(info.select("id"), "id", "left_semi").groupBy("id").agg(F.min("sig").alias("sig"))
+    # What edits are counted on, for the classes that share a key.
+    texts = seen.select(F.col("k1").alias("id"), "norm", "codes").join(info.select("id"), "id", "left_semi").groupBy("id").agg(F.min("norm").alias("norm"), F.min("codes").alias("codes"))
     texts = work.table(texts, "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(texts.toDF("src", "one"), "src")
-        both = left.join(texts.toDF("dst", "two"), "dst")
-        return both.where(_close(F.col("one"), F.col("two"), share)).select("src", "dst")
-
-    apart = F.bit_count(F.col("sim1").bitwiseXOR(F.col("sim2"))) <= hamming
-    # A short and a long line have different kinds of signature; they are not compared.
-    alike = apart & ((F.col("n1") <= LONG) == (F.col("n2") <= LONG))
+        left = pairs.join(texts.toDF("src", "norm1", "codes1"), "src")
+        both = left.join(texts.toDF("dst", "norm2", "codes2"), "dst")
+        # The kind of signature is chosen for the pair: words for both lines if either is long.
+        chars = F.col("norm1").isNotNull() & F.col("norm2").isNotNull()
+        pick = lambda i: F.when(chars, F.col(f"norm{i}")).otherwise(F.col(f"codes{i}"))
+        return both.where(_close(pick(1), pick(2), share)).select("src", "dst")
+
+    bits = F.bit_count(F.col("sim1").bitwiseXOR(F.col("sim2")))
+    apart = F.when(F.col("key") < -(1 << 62), F.lit(True)).when(F.col("key") < 0, bits <= hamming + LOOSE).otherwise(bits <= hamming)
     # Lengths that differ by more than the edits allowed can't pass _close.
-    alike = alike & (F.abs(F.col("edits1") - F.col("edits2")) <= F.floor(F.greatest("edits1", "edits2") * (1 - share) + 1e-9))
-    other = info.select(F.col("id").alias("hub"), F.col("n").alias("n2"), F.col("sim").alias("sim2"), F.col("edits").alias("edits2"))
-    first = members.where("id <> hub").select("id", "hub", F.col("n").alias("n1"), F.col("sim").alias("sim1"), F.col("edits").alias("edits1")).distinct().join(other, "hub").where(alike)
-    tried = work.table(first.select(F.col("id").alias("src"), F.col("hub").alias("dst")), "pairs-1")
+    differ = lambda c: F.abs(F.col(f"{c}1") - F.col(f"{c}2")) <= F.floor(F.greatest(f"{c}1", f"{c}2") * (1 - share) + 1e-9)
+    alike = apart & F.when(F.greatest("n1", "n2") <= LONG, differ("n")).otherwise(differ("words"))
+    # A short and a long line have different kinds of signature; they are not compared.
+    alike = alike & ((F.col("n1") <= LONG) == (F.col("n2") <= LONG))
+    facts = lambda i: info.select(F.col("id").alias(f"id{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("n", "words", "sim")))
+    first = members.where("id <> hub").join(facts(1), F.col("id") == F.col("id1")).join(facts(2), F.col("hub") == F.col("id2")).where(alike)
+    tried = work.table(first.select(F.col("id").alias("src"), F.col("hub").alias("dst")).distinct(), "pairs-1")
     links = work.table(confirmed(tried), "links-1")
 
-    comp = members.select("id").distinct().join(connected_components(links, work, "cc-1"), "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
-    mixed = members.select("band", "key", "id", "n", "sim", "edits", "head", "tail").join(work.table(comp, "comp"), "id")
+    comp = info.select("id").join(connected_components(links, work, "cc-1"), "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
+    mixed = members.select("key", "id").join(work.table(comp, "comp"), "id")
     open_ = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    mixed = mixed.join(open_.select("key"), "key")
-    one, two = (mixed.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("band", "id", "n", "sim", "edits", "head", "tail", "comp"))) for i in (1, 2))
-    before = F.lit(False)
-    for j in range(3):
-        before = before | ((F.col("band1") > j) & (block(j, "sim1") == block(j, "sim2")) & (F.col(f"{side(j)}1") == F.col(f"{side(j)}2")))
-    across = one.join(two, "key").where((F.col("id1") > F.col("id2")) & (F.col("comp1") != F.col("comp2")) & alike & ~before)
+    mixed = mixed.join(open_.select("key"), "key").join(info, "id")
+    one, two = (mixed.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("id", "n", "words", "sim", "keys", "comp"))) for i in (1, 2))
+    across = one.join(two, "key").where((F.col("id1") > F.col("id2")) & (F.col("comp1") != F.col("comp2")) & alike & (F.array_min(F.array_intersect("keys1", "keys2")) == F.col("key")))
     across = across.select(F.col("id1").alias("src"), F.col("id2").alias("dst")).distinct().join(tried, ["src", "dst"], "left_anti")
     links = work.table(links.union(confirmed(work.table(across, "pairs-2"))), "links-2")
-    for label in ("met", "info", "texts", "comp", "pairs-1", "pairs-2", "links-1"):
+    for label in ("met-blocks", "met-words", "info", "texts", "comp", "pairs-1", "pairs-2", "links-1"):
         work.drop(label)
     found = connected_components(links, work, "cc-2")
 

@@ -382,3 +382,36 @@ def test_line_simhash_is_a_majority(spark):
     bit = lambda x, i: (x & (1 << 64) - 1) >> i & 1
     want = [sum((sum(bit(x, i) for x in h) > len(h) // 2) << i for i in range(64)) for h in hs]
     assert [r.m & (1 << 64) - 1 for r in df.collect()] == want
+
+
+def edited(rng, words, how):
+    """The line with one letter of one word changed, or a word added, or both its ends changed."""
+    w = list(words)
+    at = {"first": [0], "last": [len(w) - 1], "ends": [0, len(w) - 1], "one": [int(rng.integers(len(w)))]}.get(how, [])
+    for i in at:
+        w[i] = w[i][:-1] + ("x" if w[i][-1] != "x" else "y")
+    if how == "added":
+        w.insert(int(rng.integers(len(w) + 1)), "z")
+    return " ".join(w)
+
+
+def test_line_dedup_recall_by_length(spark):
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvw"), 8))
+    rows, cases = [], []
+    for n in (3, 4, 6, 7, 8, 9, 10, 14, 17, 20, 40):
+        for how in ("one", "first", "last", "ends", "added"):
+            if how == "ends" and n < 4:
+                continue
+            for _ in range(12):
+                base = [word() for _ in range(n)]
+                cases.append((n, how))
+                rows += [(2 * len(cases), " ".join(base)), (2 * len(cases) + 1, edited(rng, base, how))]
+    gone = {r.doc_id for r in line_dedup.removed_lines(odd(spark, *rows)).collect()}
+    assert all(d % 2 for d in gone)
+    found = {}
+    for i, c in enumerate(cases, 1):
+        found.setdefault(c, []).append(2 * i + 1 in gone)
+    recall = {c: sum(x) / len(x) for c, x in found.items()}
+    print(recall)
+    assert min(recall.values()) >= 0.9 and sum(map(sum, found.values())) >= 0.98 * len(cases)
