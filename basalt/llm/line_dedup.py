@@ -35,7 +35,7 @@ SHORT = 8
 RUNS = (3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
 LOOSE = 8
 #: Characters beyond which edits are counted in words, and the characters that stand for words.
-LONG = 160
+LONG = 1024
 CODES = 94
 
 
@@ -172,8 +172,6 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Lengths that differ by more than the edits allowed can't pass _close.
     differ = lambda c: F.abs(F.col(f"{c}1") - F.col(f"{c}2")) <= F.floor(F.greatest(f"{c}1", f"{c}2") * (1 - share) + 1e-9)
     alike = apart & F.when(F.greatest("n1", "n2") <= LONG, differ("n")).otherwise(differ("words"))
-    # A short and a long line have different kinds of signature; they are not compared.
-    alike = alike & ((F.col("n1") <= LONG) == (F.col("n2") <= LONG))
     facts = lambda i: info.select(F.col("id").alias(f"id{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("n", "words", "sim")))
     first = members.where("id <> hub").join(facts(1), F.col("id") == F.col("id1")).join(facts(2), F.col("hub") == F.col("id2")).where(alike)
     tried = work.table(first.select(F.col("id").alias("src"), F.col("hub").alias("dst")).distinct(), "pairs-1")

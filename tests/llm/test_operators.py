@@ -415,3 +415,19 @@ def test_line_dedup_recall_by_length(spark):
     recall = {c: sum(x) / len(x) for c, x in found.items()}
     print(recall)
     assert min(recall.values()) >= 0.9 and sum(map(sum, found.values())) >= 0.98 * len(cases)
+
+
+def test_line_dedup_across_lengths(spark):
+    rng = np.random.default_rng(22)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvw"), n))
+    rows = []
+    for size in (160, 1024):
+        for longer in (1, 2):
+            base = " ".join(word(7) for _ in range(size // 8))
+            base += word(size - len(base))
+            rows.append((base, base + "x" * longer))
+    typos = [word(8) for _ in range(25)]
+    rows.append((" ".join(typos), " ".join(w[:-1] + "z" if i in (20, 22, 24) else w for i, w in enumerate(typos))))
+    flat = [(2 * i + j, t) for i, pair in enumerate(rows) for j, t in enumerate(pair)]
+    assert [len(t) for _, t in flat[:4]] == [160, 161, 160, 162]
+    assert sorted(r.doc_id for r in line_dedup.removed_lines(odd(spark, *flat)).collect()) == [1, 3, 5, 7, 9]
