@@ -11,6 +11,10 @@ The sums cover every row; only group tables, never rows, meet in an aggregation.
 
 from __future__ import annotations
 
+import html as entities
+import re
+from urllib.parse import urlsplit
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,6 +30,56 @@ _FOLD[65:91] += 32
 _FOLD[[c for c in range(128) if not chr(c).isalpha()]] = 32
 
 
+_hidden = re.compile(r"<!--.*?-->|<(script|style|noscript|template|nav)\b.*?</\1\s*>", re.I | re.S)
+_tag = re.compile(r"<[^>]*>")
+_html = re.compile(r"<html\b[^>]*>", re.I)
+_lang = re.compile(r"""[\s"'](?:xml:)?lang\s*=\s*["']?\s*([A-Za-z]{2,8})""", re.I)
+_meta = re.compile(r"""<meta\b(?=[^>]*http-equiv\s*=\s*["']?content-language)[^>]*\bcontent\s*=\s*["']?\s*([A-Za-z]{2,8})""", re.I)
+
+
+def markup(page: str | None) -> tuple[str | None, str | None]:
+    """(text, declared language) of a page: without tags, scripts, styles and menus; the primary
+    subtag of ``<html lang>`` or else of a Content-Language meta element, in lower case."""
+    if page is None:
+        return None, None
+    head = _hidden.sub(" ", page)
+    root = _html.search(head)
+    found = (root and _lang.search(root.group())) or _meta.search(head)
+    return entities.unescape(_tag.sub(" ", head)), found.group(1).lower() if found else None
+
+
+def address(url: str | None) -> tuple[str | None, str | None]:
+    """(host, suffix) of an address; the suffix is the host's last label, none for a number."""
+    try:
+        host = (urlsplit((url or "").strip()).hostname or "").rstrip(".")
+    except ValueError:
+        host = ""
+    suffix = host.rsplit(".", 1)[-1] if "." in host and ":" not in host else ""
+    return host or None, suffix if suffix and not suffix.isdigit() else None
+
+
+def evidence(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
+    """(page_id, text, declared, host, suffix) of each page, for ``identify``; what is missing is null."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [markup(p) for p in batch.column(1).to_pylist()]
+            places = [address(u) for u in batch.column(2).to_pylist()]
+            cols = [[t for t, _ in texts], [d for _, d in texts], [h for h, _ in places], [s for _, s in places]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in cols)], names=["page_id", "text", "declared", "host", "suffix"])
+
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"), F.col(url_col).cast("string").alias("url"))
+    return rows.mapInArrow(run, "page_id long, text string, declared string, host string, suffix string")
+
+
+def identify_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", **options) -> DataFrame:
+    """(page_id, language, posterior, accepted) for each page, from its text, markup and address."""
+    found = evidence(pages, id_col, html_col, url_col)
+    found = Scratch(pages.sparkSession, "page-evidence").table(found, "evidence")
+    out = identify(found, id_col="page_id", declared_col="declared", host_col="host", suffix_col="suffix", **options)
+    return out.withColumnRenamed("doc_id", "page_id")
+
+
 def trigrams(data: np.ndarray) -> np.ndarray:
     """Bucket of each byte trigram of a text; trigrams that start and end in a non-letter are left out."""
     if len(data) < 3:

@@ -54,7 +54,9 @@ def op8_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(_table(spark, sf_dir, "documents"))
+    """Documents (no markup or address: declared ``lang``, ``source`` as host) and pages (all evidence)."""
+    docs = language_id.identify(_table(spark, sf_dir, "documents")).withColumn("page_id", F.lit(None).cast("long"))
+    return docs.unionByName(language_id.identify_pages(_table(spark, sf_dir, "pages")), allowMissingColumns=True)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

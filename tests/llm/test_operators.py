@@ -339,6 +339,25 @@ def test_language_evidence_and_edges(spark):
     assert [out[i].language for i in (100, 101, 102)] == ["und"] * 3 and not out[101].accepted and out[101].posterior == 1
 
 
+def test_language_evidence_of_pages():
+    page = "<!-- <html lang='xx'> --><HTML class=a LANG='pt-BR'><script>var t = '</p>'</script><nav>the</nav><p>caf&eacute; &amp; p&atilde;o</p>"
+    assert (language_id.markup(page)[0].split(), language_id.markup(page)[1]) == (["café", "&", "pão"], "pt")
+    assert language_id.markup('<html data-x="1"><meta http-equiv="Content-Language" content="de-AT">')[1] == "de"
+    assert language_id.markup(None) == (None, None) and language_id.markup("plain") == ("plain", None)
+    got = [language_id.address(u) for u in ("https://a@Www.Example.CO.uk:80/x?y", "http://10.0.0.1/", "http://[::1]/", "http://[bad/", None, "no address")]
+    assert got == [("www.example.co.uk", "uk"), ("10.0.0.1", None), ("::1", None), (None, None), (None, None), (None, None)]
+
+
+def test_language_query_reads_pages(spark):
+    from basalt.llm import queries
+
+    p, d = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("pages", "documents"))
+    out = queries.op9_language_id(spark, SF).toPandas()
+    assert sorted(out.page_id.dropna()) == sorted(r.page_id for r in p.collect()) and out.doc_id.notna().sum() == d.count()
+    assert out[out.page_id.notna()].accepted.mean() > 0.9
+    assert language_id.evidence(p).where("declared is null or host is null or suffix is null").count() == 0
+
+
 # op10
 
 
