@@ -82,8 +82,11 @@ class Scanner:
         at: dict[str, list[int]] = {}
         for i, w in enumerate(block):
             at.setdefault(w, []).append(i)
-        starts = {max(0, i - j) for j, w in enumerate(template) for i in at.get(w, ())} if n <= 16 else {max(0, i - j) for j, w in enumerate(template) if len(at.get(w, ())) <= 4 for i in at.get(w, ())}
         slack = max(1, int(n * self.reach))
+        # Of the rarest words, one more than may differ: one of them is intact wherever the template stands.
+        rare = sorted(range(n), key=lambda j: len(at.get(template[j], ())))
+        anchors = range(n) if n <= 16 else [j for k, j in enumerate(rare) if k <= slack or len(at.get(template[j], ())) <= 4]
+        starts = {max(0, i - j) for j in anchors for i in at.get(template[j], ())}
         for s in sorted(starts):
             run = block[s : s + n + slack]
             if sum(a == b for a, b in zip(template, run)) == n:

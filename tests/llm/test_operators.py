@@ -103,6 +103,12 @@ def test_license_scan(spark):
     assert got == [(0, "CC-BY-NC-4.0", 0), (1, "MIT-notice", 0), (2, "Apache-2.0-notice", 0), (3, "BSD", 2), (6, "AGPL-notice", 0), (7, "All-rights-reserved", 0), (7, "CC-BY-4.0", 0)]
 
 
+def test_license_repeated_text(spark):
+    rows = [(n, "\n".join([licenses.TEMPLATES[name]] * n)) for n, name in ((1, "MIT"), (5, "MIT"), (9, "Apache-2.0"), (40, "BSD"))]
+    got = {(r.doc_id, r.license) for r in licenses.license_scan(odd(spark, *rows)).collect()}
+    assert got >= {(1, "MIT"), (5, "MIT"), (9, "Apache-2.0"), (40, "BSD")}
+
+
 # op3, op7
 
 
