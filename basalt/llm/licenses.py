@@ -1,13 +1,16 @@
 """License scan by conditional compression.
 
 A block of text around a licence word is compressed alone and with each template as a zstandard raw
-dictionary. Templates rank by how many bytes they save; the leaders are confirmed, best first, by the
-exact differences in wording between the template and the part of the block that aligns with it.
+dictionary. Every template is confirmed at every place of the block by the exact differences in wording
+between the template and the words that align with it; the bytes it saves decide between equals. (They
+are no condition: in a block that names many licences, one may save nothing beside its likes.)
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -51,8 +54,8 @@ def words(text: str) -> list[tuple[str, int, int]]:
 class Scanner:
     """Templates with their dictionaries; made once in each worker."""
 
-    def __init__(self, templates: dict[str, str], reach: float = 0.1, leaders: int = 12, level: int = 3):
-        self.reach, self.leaders = reach, leaders
+    def __init__(self, templates: dict[str, str], reach: float = 0.1, level: int = 3):
+        self.reach = reach
         self.plain = zstandard.ZstdCompressor(level=level)
         self.alone = {n: len(self.plain.compress(t.lower().encode())) for n, t in templates.items()}
         self.with_template = {}
@@ -76,9 +79,12 @@ class Scanner:
         if lo >= 0:
             yield lo, hi
 
-    def differences(self, template: list[str], block: list[str]) -> tuple[int, int, int]:
-        """Fewest wording differences of the template to a run of the block: (differences, first, last word)."""
-        n, best = len(template), (len(template), 0, 0)
+    def places(self, template: list[str], block: list[str]) -> list[tuple[int, int, int]]:
+        """Runs of the block that the template aligns with: (wording differences, first, last word).
+
+        Only those within reach; runs may overlap, where several starts lead to one place.
+        """
+        n, found, past = len(template), set(), -1
         at: dict[str, list[int]] = {}
         for i, w in enumerate(block):
             at.setdefault(w, []).append(i)
@@ -87,13 +93,17 @@ class Scanner:
         rare = sorted(range(n), key=lambda j: len(at.get(template[j], ())))
         anchors = range(n) if n <= 16 else [j for k, j in enumerate(rare) if k <= slack or len(at.get(template[j], ())) <= 4]
         starts = {max(0, i - j) for j in anchors for i in at.get(template[j], ())}
+        need = Counter(template)
         for s in sorted(starts):
+            if s < past:
+                continue
             run = block[s : s + n + slack]
-            if sum(a == b for a, b in zip(template, run)) == n:
-                return 0, s, s + n
-            if n > 16 and len(set(template) & set(run)) < 0.6 * len(set(template)):
+            if run[:n] == template:
+                found.add((0, s, s + n))
+                past = s + n - slack
                 continue
-            if n <= 16 and sum(w in run for w in template) < n - slack:
+            # No alignment matches more words than both have in common.
+            if n - (need & Counter(run)).total() > n * self.reach:
                 continue
             ops = [o for o in SequenceMatcher(None, template, run, autojunk=False).get_matching_blocks() if o.size]
             if not ops:
@@ -101,39 +111,36 @@ class Scanner:
             end = ops[-1].b + ops[-1].size
             matched = sum(o.size for o in ops)
             d = n - matched + max(0, end - ops[0].b - matched)
-            if d < best[0]:
-                best = (d, s + ops[0].b, s + end)
-        return best
+            if d <= n * self.reach:
+                found.add((d, s + ops[0].b, s + end))
+        return sorted(found)
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, int, int]]:
         """(licence, start, end, bytes saved, wording differences), one for each confirmed place."""
         low = (text or "").lower()
         if not any(s in low for s in SIGNS):
             return []
-        found = []
+        hits: dict[tuple[str, int, int], tuple[int, int, int]] = {}
         for lo, hi in self.blocks(text):
             block = text[lo:hi]
             raw = block.lower().encode()
             alone = len(self.plain.compress(raw))
-            saved_by = {n: alone - len(c.compress(raw)) for n, c in self.with_template.items()}
-            # Leaders by bytes saved, and by the share saved of what the template could save at most.
-            ranked = sorted(saved_by, key=lambda n: (-saved_by[n], n))[: self.leaders]
-            ranked += [n for n in sorted(saved_by, key=lambda n: (-saved_by[n] / self.alone[n], n))[: self.leaders] if n not in ranked]
             spots = words(block)
             bare = [w for w, _, _ in spots]
-            # Where several winners align, the one of more words and fewer differences holds the place.
-            hits = []
-            for name in ranked:
-                saved, t = saved_by[name], self.words[name]
-                d, a, b = self.differences(t, bare)
-                if saved > 0 and d <= len(t) * self.reach:
-                    hits.append((3 * d - len(t), -saved, name, a, b, d))
-            taken: list[tuple[int, int]] = []
-            for _, saved, name, a, b, d in sorted(hits):
-                if all(b <= x or a >= y for x, y in taken):
-                    taken.append((a, b))
-                    found.append((name, lo + spots[a][1], lo + spots[b - 1][2], -saved, d))
-        return sorted(set(found), key=lambda x: (x[1], x[2], x[0]))
+            for name, c in self.with_template.items():
+                saved, t = alone - len(c.compress(raw)), self.words[name]
+                for d, a, b in self.places(t, bare):
+                    # Blocks overlap: a place in two of them counts once.
+                    place = (name, lo + spots[a][1], lo + spots[b - 1][2])
+                    hits[place] = min(hits.get(place, (1, 0, 0)), (3 * d - len(t), -saved, d))
+        # Where several winners align, the one of more words and fewer differences holds the place.
+        starts, taken = [], []
+        for (score, saved, d), (name, a, b) in sorted((v, k) for k, v in hits.items()):
+            i = bisect(starts, a)
+            if (i == 0 or taken[i - 1][2] <= a) and (i == len(taken) or taken[i][1] >= b):
+                starts.insert(i, a)
+                taken.insert(i, (name, a, b, -saved, d))
+        return taken
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, reach: float = 0.1) -> DataFrame:

@@ -109,6 +109,18 @@ def test_license_repeated_text(spark):
     assert got >= {(1, "MIT"), (5, "MIT"), (9, "Apache-2.0"), (40, "BSD")}
 
 
+def test_license_every_place(spark):
+    one = "All rights reserved."
+    rows = [(1, f"{one} some words between\n{one}"), (2, ("plain words go here " * 30 + one + "\n") * 40), (3, "\n".join([licenses.TEMPLATES["MIT"]] * 5)), (4, "\n\n".join(licenses.TEMPLATES.values()))]
+    got = {}
+    for r in licenses.license_scan(odd(spark, *rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end, r.license))
+    assert [rows[0][1][a:b] for a, b, _ in got[1]] == ["All rights reserved"] * 2
+    assert len(got[2]) == 40 and [x for _, _, x in got[3]] == ["MIT"] * 5
+    assert {x for _, _, x in got[4]} == set(licenses.TEMPLATES)
+    assert all(b <= c for x in got.values() for (_, b, _), (c, _, _) in zip(sorted(x), sorted(x)[1:]))
+
+
 # op3, op7
 
 
