@@ -172,13 +172,15 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("event_id").alias("pos"), "value")
 
 
-def _ranges(spark: SparkSession, sf_dir: str, low: int) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_id") % 2 == low)
+def _ranges(spark: SparkSession, sf_dir: str, low: int | None = None) -> DataFrame:
+    """A range of each event: of all, or of those of even (0) or odd (1) number, as two sides."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = e if low is None else e.where(F.col("event_id") % 2 == low)
     return e.select("user_id", F.col("event_id").alias("start"), (F.col("event_id") % 40 + 1).alias("cnt"))
 
 
-def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranges(spark, sf_dir, 0).groupBy("user_id").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("cnt")) - F.min("start") + 5).alias("cnt"))
+def _bounds(spark: SparkSession, sf_dir: str, low: int | None = None) -> DataFrame:
+    return _ranges(spark, sf_dir, low).groupBy("user_id").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("cnt")) - F.min("start") + 5).alias("cnt"))
 
 
 # Positions that a set of ranges covers, one row each: what the interval oracles count.
@@ -186,6 +188,9 @@ _COVER = "SELECT DISTINCT user_id, p FROM (SELECT user_id, unnest(range(event_id
 _ISLANDS = "SELECT user_id, min(p) AS start, count(*) AS cnt FROM (SELECT user_id, p, p - row_number() OVER (PARTITION BY user_id ORDER BY p) AS g FROM ({cover})) GROUP BY user_id, g"
 _A, _B = _COVER.format(low=0), _COVER.format(low=1)
 _BOUND = "SELECT user_id, min(event_id) AS s, max(event_id + event_id % 40 + 1) + 5 AS e FROM events WHERE event_id % 2 = 0 GROUP BY user_id"
+# The same of all events.
+_ALL = "SELECT DISTINCT user_id, p FROM (SELECT user_id, unnest(range(event_id, event_id + event_id % 40 + 1)) AS p FROM events)"
+_BOUND_ALL = "SELECT user_id, min(event_id) AS s, max(event_id + event_id % 40 + 1) + 5 AS e FROM events GROUP BY user_id"
 
 _AFFIX = {k: f"SELECT feature, count(*) AS n FROM (SELECT {k}(p_type, k) AS feature FROM part, (SELECT unnest([1, 2, 3, 4, 6, 8, 12]) AS k) WHERE length(p_type) >= k) GROUP BY feature" for k in ("left", "right")}
 _GRAM = "SELECT feature, count(*) AS n FROM (SELECT unnest([substr(p_name, i, {size}) FOR i IN range(1, length(p_name) - {less})]) AS feature FROM part WHERE length(p_name) >= {size}) GROUP BY feature"
@@ -225,7 +230,10 @@ ANALYTICS: dict[str, tuple[Callable, str | None]] = {
     "ranges_merge": (lambda s, d: intervals.merge(_ranges(s, d, 0), ["user_id"]), _ISLANDS.format(cover=_A)),
     "ranges_coarsen": (lambda s, d: intervals.coarsen(_ranges(s, d, 0), ["user_id"], 100), f"SELECT user_id, min(start) AS start, CAST(max(start + cnt) - min(start) AS BIGINT) AS cnt FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY start) AS g FROM (SELECT *, CASE WHEN start <= lag(start + cnt) OVER (PARTITION BY user_id ORDER BY start) + 100 THEN 0 ELSE 1 END AS fresh FROM ({_ISLANDS.format(cover=_A)}))) GROUP BY user_id, g"),
     "ranges_intersect": (lambda s, d: intervals.intersect(_ranges(s, d, 0), _ranges(s, d, 1), ["user_id"]), _ISLANDS.format(cover=f"SELECT * FROM ({_A}) INTERSECT SELECT * FROM ({_B})")),
-    "ranges_complement": (lambda s, d: intervals.complement(_ranges(s, d, 0), _bounds(s, d), ["user_id"]), _ISLANDS.format(cover=f"SELECT user_id, unnest(range(s, e)) AS p FROM ({_BOUND}) EXCEPT SELECT * FROM ({_A})")),
+    "ranges_complement": (lambda s, d: intervals.complement(_ranges(s, d, 0), _bounds(s, d, 0), ["user_id"]), _ISLANDS.format(cover=f"SELECT user_id, unnest(range(s, e)) AS p FROM ({_BOUND}) EXCEPT SELECT * FROM ({_A})")),
+    "ranges_merge_all": (lambda s, d: intervals.merge(_ranges(s, d), ["user_id"]), _ISLANDS.format(cover=_ALL)),
+    "ranges_coarsen_all": (lambda s, d: intervals.coarsen(_ranges(s, d), ["user_id"], 100), f"SELECT user_id, min(start) AS start, CAST(max(start + cnt) - min(start) AS BIGINT) AS cnt FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY start) AS g FROM (SELECT *, CASE WHEN start <= lag(start + cnt) OVER (PARTITION BY user_id ORDER BY start) + 100 THEN 0 ELSE 1 END AS fresh FROM ({_ISLANDS.format(cover=_ALL)}))) GROUP BY user_id, g"),
+    "ranges_complement_all": (lambda s, d: intervals.complement(_ranges(s, d), _bounds(s, d), ["user_id"]), _ISLANDS.format(cover=f"SELECT user_id, unnest(range(s, e)) AS p FROM ({_BOUND_ALL}) EXCEPT SELECT * FROM ({_ALL})")),
     "ranges_overlap": (lambda s, d: intervals.overlapping(_ranges(s, d, 0), _ranges(s, d, 1), ["user_id"]), "SELECT DISTINCT a.user_id, a.event_id AS start, a.event_id % 40 + 1 AS cnt FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id % 2 = 0 AND b.event_id % 2 = 1 AND a.event_id < b.event_id + b.event_id % 40 + 1 AND b.event_id < a.event_id + a.event_id % 40 + 1"),
 }
 

@@ -38,6 +38,15 @@ def test_same_as_duckdb(spark, duck, name):
     assert rows(df.columns, [tuple(x) for x in df.collect()]) == rows(names, r.fetchall())
 
 
+def test_ranges_of_all_events(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_id").collect()
+    for name in ("ranges_merge_all", "ranges_coarsen_all"):
+        covered = {(r.user_id, p) for r in QUERIES[name](spark, SF).collect() for p in range(r.start, r.start + r.cnt)}
+        assert {(r.user_id, r.event_id) for r in events} <= covered
+    left = {(r.user_id, p) for r in QUERIES["ranges_complement_all"](spark, SF).collect() for p in range(r.start, r.start + r.cnt)}
+    assert left and not left & {(r.user_id, r.event_id) for r in events}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
