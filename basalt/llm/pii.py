@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Characters that one permutation of a text covers: two halves of 64, one byte of the key stream for each.
+BLOCK = 128
 #: Candidate patterns, tried in this order at each position. The text around must not go on with a word.
 PATTERNS = {
-    "secret": r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\x22']?)[A-Za-z0-9_\-]{8,128}|AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "secret": r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\x22']?)[A-Za-z0-9_\-]{8,}+|AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "email": r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
     "ip": r"\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "date": r"\d{4}-\d{2}-\d{2}(?![\d-])|\d{1,2}/\d{1,2}/\d{4}(?![\d/])",
@@ -36,11 +38,11 @@ _chars = lambda s: F.split(s, "")
 _digits = lambda s: F.regexp_replace(s, r"\D", "")
 
 
-def _prf(key: str, kind: str, turn: Column, value: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), value, F.lit(key)), 512)
+def _prf(key: str, kind: str | Column, turn: Column, value: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind) if isinstance(kind, str) else kind, turn.cast("string"), value, F.lit(key)), 512)
 
 
-def permute_text(value: Column, key: str, kind: str, letters: Column | None = None) -> Column:
+def permute_text(value: Column, key: str, kind: str | Column, letters: Column | None = None) -> Column:
     """Permutes letters and digits of strings of up to 128 characters, each within its class.
 
     ``letters`` (6 or 26) is the size of the letters' alphabet; 6 for hexadecimal values.
@@ -63,6 +65,14 @@ def permute_text(value: Column, key: str, kind: str, letters: Column | None = No
     return F.transform(F.array(done), lambda s: F.concat(s["a"], s["b"]))[0]
 
 
+def permute_long(value: Column, key: str, kind: str, letters: Column | None = None) -> Column:
+    """``permute_text`` of strings of any length, in blocks of BLOCK characters; each block has its own key."""
+    more = F.sequence(F.lit(1), F.floor((F.length(value) - 1) / BLOCK).cast("int"))
+    block = lambda i: permute_text(F.substring(value, i * BLOCK + 1, F.lit(BLOCK)), key, F.concat(F.lit(f"{kind}-"), i.cast("string")), letters)
+    first = permute_text(F.substring(value, F.lit(1), F.lit(BLOCK)), key, kind, letters)
+    return F.when(F.length(value) <= BLOCK, first).otherwise(F.concat(first, F.array_join(F.transform(more, block), "")))
+
+
 def permute_number(value: Column, low: int, high: int, count: int, key: str, kind: str) -> Column:
     """A keyed permutation of 0 .. count - 1 (count <= low * high), walked back into the range."""
 
@@ -166,13 +176,13 @@ def _email(m: Column, key: str) -> Column:
     local, domain = F.split(m, "@")[0], F.lower(F.split(m, "@")[1])
     # The last label of the domain stays, so the value is still an address.
     host, top = F.regexp_replace(domain, r"\.[^.]*$", ""), F.regexp_extract(domain, r"\.[^.]*$", 0)
-    return F.when(top.rlike(r"^\.[a-z]{2,}$"), F.concat(permute_text(local, key, "local"), F.lit("@"), permute_text(F.substring(host, 1, 128), key, "domain"), top))
+    return F.when(top.rlike(r"^\.[a-z]{2,}$"), F.concat(permute_text(local, key, "local"), F.lit("@"), permute_long(host, key, "domain"), top))
 
 
 def _secret(m: Column, key: str) -> Column:
     value = F.regexp_extract(m, r"^(?:AKIA)?.*?([A-Za-z0-9_\-]+)$", 1)
     name = F.substring(m, F.lit(1), F.length(m) - F.length(value))
-    return F.concat(name, permute_text(value, key, "secret", F.when(value.rlike("^[0-9a-f]+$") | value.rlike("^[0-9A-F]+$"), F.lit(6)).otherwise(F.lit(26))))
+    return F.concat(name, permute_long(value, key, "secret", F.when(value.rlike("^[0-9a-f]+$") | value.rlike("^[0-9A-F]+$"), F.lit(6)).otherwise(F.lit(26))))
 
 
 KINDS = {"secret": _secret, "email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card, "iban": _iban}

@@ -93,6 +93,22 @@ def test_feistel_is_a_permutation(spark):
     assert len({r.y for r in t}) == 1000
 
 
+def test_pii_long_values(spark):
+    rng = np.random.default_rng(7)
+    make = lambda n: "".join(rng.choice(list("ghijkLMNOP0123"), n))
+    values = [make(n) for n in (128, 129, 130, 300, 1000)]
+    label = "a" * 60
+    hosts = [f"{label}.{label}.{label}{end}" for end in ("x", "y")]
+    rows = [(i, f"token = {v} end") for i, v in enumerate(values)] + [(10 + i, f"me@{h}.org") for i, h in enumerate(hosts)] + [(20, f"token = {values[3][:-1]}# end")]
+    out = {r.doc_id: r for r in pii.pseudonymise(odd(spark, *rows), "k").collect()}
+    for i, v in enumerate(values):
+        new = out[i].text
+        assert len(new) == len(v) + 12 and new.endswith(" end") and [f["count"] for f in out[i].found] == [1]
+        got = new[8:-4]
+        assert all(got[k : k + 12] != v[k : k + 12] for k in range(0, len(v) - 12, 12)) and re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", got))) == re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", v)))
+    assert out[10].text != out[11].text and len(out[10].text) == len(rows[5][1])
+
+
 # op2
 
 
