@@ -32,13 +32,13 @@ def statistics(data: np.ndarray, h: np.ndarray) -> list[float]:
     _, times = np.unique(h, return_counts=True) if w else (None, np.zeros(1))
     pairs = len(np.unique(h[1:] ^ (h[:-1] << np.uint64(1)))) / (w - 1) if w > 1 else 1.0
     breaks = np.flatnonzero(data == 10)
-    starts, ends = np.concatenate(([0], breaks + 1)), np.concatenate((breaks, [n]))
-    lines = len({(b - a, bytes(data[a : a + 24]), bytes(data[max(a, b - 24) : b])) for a, b in zip(starts.tolist(), ends.tolist())})
+    whole = len(breaks) + 1
+    lines = len(set(data.tobytes().split(b"\n")))
     last = data[:-1][_kind["blank"][data[1:]] & ~_kind["blank"][data[:-1]]] if n > 1 else data
     return [
         np.log1p(n), np.log1p(w), (n - k["blank"]) / max(w, 1), (ascii_letters + count[128:].sum()) / n, k["upper"] / max(ascii_letters, 1), k["digit"] / n, k["point"] / n, k["symbol"] / n,
         count[124] / max(w, 1), count[33] / max(w, 1), count[128:].sum() / n, k["blank"] / n,
-        len(times) / max(w, 1), times.max() / max(w, 1), float((h[1:] == h[:-1]).mean()) if w > 1 else 0.0, pairs, lines / len(starts), np.log1p(n / len(starts)), float(-(p * np.log(p)).sum()),
+        len(times) / max(w, 1), times.max() / max(w, 1), float((h[1:] == h[:-1]).mean()) if w > 1 else 0.0, pairs, lines / whole, np.log1p(n / whole), float(-(p * np.log(p)).sum()),
         (count[46] + count[63]) / max(w, 1), count[44] / max(w, 1), count.max() / n, float((_kind["symbol"][last] | (last == 33)).mean()) if len(last) else 0.0,
     ]
 

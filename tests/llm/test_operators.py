@@ -251,6 +251,16 @@ def test_quality_on_held_out_rows(spark):
     assert len(edge) == len(EDGE) and (edge.score == 0.5).all()
 
 
+def test_quality_tells_whole_lines_apart():
+    import pyarrow as pa
+
+    side = "the same start of each of the lines"
+    for middles, distinct in ((range(10, 30), 1.0), ([10] * 20, 0.05)):
+        data, at = _words.utf8(pa.array(["\n".join(f"{side} {i} {side}" for i in middles)]))
+        x = dict(zip(quality.FEATURES, quality.statistics(data, _words.word_hashes(data, at)[0])))
+        assert abs(x["distinct_lines"] - distinct) < 1e-12 and abs(x["line_bytes"] - np.log1p(len(data) / 20)) < 1e-12
+
+
 def test_trees():
     rng = np.random.default_rng(4)
     x = rng.random((3000, 4))
