@@ -9,7 +9,8 @@
    the first or the last two words in common share such a key for certain.
 4. They also meet on words of the line itself (``word_keys``): a line of up to ``SHORT`` words on what is
    left without one of its words, others on a run of nearly half the line at its start and at its end.
-   That finds any one changed, added or missing word, and changes of the first and last word together.
+   Lines that differ by one changed, added or missing word, or in their first and last word, are meant to
+   share one; on a run their fingerprints can still rule them out.
 5. Members of a key are compared with its smallest member; those that stay in other components are
    compared with each other, each pair in the first key it shares, if their fingerprints are near
    (``hamming`` bits on blocks, ``LOOSE`` more on runs) and their lengths do not rule it out.
