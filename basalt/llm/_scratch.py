@@ -43,7 +43,8 @@ class Scratch:
         conf, old = self.spark.conf, self.spark.conf.get(CLEANUP, "false")
         conf.set(CLEANUP, "true")
         try:
-            df.write.mode("overwrite").parquet(self.path(label))
+            # Hashes and texts gain nothing from dictionaries; zstandard takes no longer than the default and a quarter less room.
+            df.write.option("parquet.enable.dictionary", "false").option("compression", "zstd").mode("overwrite").parquet(self.path(label))
         finally:
             conf.set(CLEANUP, old)
         return self.spark.read.schema(df.schema).parquet(self.path(label))

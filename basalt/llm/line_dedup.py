@@ -1,21 +1,25 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
 1. Lines are normalised (lower case, letters and digits, one blank between words); equal ones form a
-   class by a grouped aggregation over two 64-bit hashes.
-2. A class has a 64-bit SimHash over the ``FEATURES`` smallest distinct word hashes of its whole line
-   (all words of a short line; of a longer one a sample that its content alone decides), in bit planes.
-3. Classes meet on pigeonhole blocks: each of four blocks of 16 bits, once together with the line's first
-   two words and once with its last two. Only fingerprints within Hamming distance 3 of lines that have
-   the first or the last two words in common share such a key for certain.
-4. They also meet on words of the line itself (``word_keys``): a line of up to ``SHORT`` words on what is
-   left without one of its words, others on a run of nearly half the line at its start and at its end.
-   Lines that differ by one changed, added or missing word, or in their first and last word, are meant to
-   share one; on a run their fingerprints can still rule them out.
-5. Members of a key are compared with its smallest member; those that stay in other components are
-   compared with each other, each pair in the first key it shares, if their fingerprints are near
-   (``hamming`` bits on blocks, ``LOOSE`` more on runs) and their lengths do not rule it out.
+   class by a grouped aggregation over two 64-bit hashes, so a line that stands everywhere is one row
+   before anything is joined.
+2. The fingerprint of a class is a SimHash over all words of its line, in ``BLOCKS`` blocks of ``VOTES``
+   bits: the hash of a word says in which block it votes. In a plain SimHash every bit depends on
+   every word, so one changed word may flip bits in each block; here a changed word reaches two blocks
+   at most, an added or missing word one. By the pigeonhole principle two lines that differ in up to two
+   changed words have two blocks of equal words at least, and share one for certain if it has ``LEAST`` words.
+3. Classes of lines of ``BLOCKED`` words and more meet on such blocks. The key is a 64-bit hash of the
+   block's words, not its few bits, so that the number of chance meetings does not grow with the corpus.
+4. Shorter lines have too few words a block. They meet on words of the line itself: a line of up to
+   ``SHORT`` words on what is left without one of its words or without both ends, others on a run of nearly
+   half the line after its first word and before its last one. Lines that differ in one word (changed,
+   added or missing), or in their first and last word, share such a key.
+5. Members of a key are compared with its hub, the most frequent class; those that stay in other components
+   are compared with each other, each pair in the first key it shares, if the fingerprints of longer lines
+   differ in at most ``hamming`` bits and their lengths do not rule it out.
 6. Edit similarity 1 - distance / longer length confirms a pair: over characters, or if one line has more
-   than ``LONG`` characters over words (one of ``CODES`` characters stands for each word).
+   than ``LONG`` characters over words (one of ``CODES`` characters stands for each word; lengths in
+   characters may then differ by a fifth).
 7. One occurrence of each connected group stays: the one of smallest (doc id, line number).
 """
 
@@ -25,60 +29,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm._graph import connected_components
+from basalt.llm._names import column, free, replaced
 from basalt.llm._scratch import Scratch
 
-#: Words in a fingerprint; five bit planes count to it.
-FEATURES = 31
-PLANES = 5
+#: Blocks of a fingerprint, bits of a block, and words from which a line meets others on blocks of LEAST words at least.
+BLOCKS = 6
+VOTES = 7
+BLOCKED = 32
+LEAST = 4
 #: Words of a line that meets others without any one of them.
 SHORT = 8
-#: Words of a run, and bits that fingerprints of lines with a common run may differ in beyond ``hamming``.
-RUNS = (3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
-LOOSE = 8
-#: Characters beyond which edits are counted in words, and the characters that stand for words.
+#: Words of a line up to which it meets others on runs (a few more than BLOCKED), and words of a run.
+RUN_LINES = 38
+RUNS = (3, 4, 6, 8, 12, 16)
+#: Characters beyond which edits are counted in words, and the characters that stand for words (from U+3400 on).
 LONG = 1024
-CODES = 94
+CODES = 41_984
+#: Keys of a class at most: SHORT + 2 without some words and two runs (or blocks and four runs).
+KEYS = SHORT + 4
+#: Bits 0, 8, .. 48 of a word's hash are its votes; counts of up to 127 words fit in the lanes between them.
+_LANES = sum(1 << 8 * j for j in range(VOTES))
 
 
 def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def simhash(df: DataFrame, hashes: str, out: str) -> DataFrame:
-    """``df`` with the column ``out``: the bits set in more than half of at most FEATURES hashes.
-
-    Carry-save adders count all 64 bits at once. Each layer is a projection of its own, so Spark
-    compiles plain 64-bit operations and repeats none of them.
-    """
-    whole, zero = df.columns, F.lit(0).cast("long")
-    weights = [[f"_b0_{i}" for i in range(FEATURES)]] + [[] for _ in range(PLANES - 1)]
-    df = df.select(*whole, F.size(hashes).alias("_n"), *(F.coalesce(F.get(hashes, F.lit(i)), zero).alias(c) for i, c in enumerate(weights[0])))
-    turn = 0
-    while any(len(w) > 2 for w in weights):
-        turn += 1
-        after, made = [[] for _ in weights], []
-        for at, w in enumerate(weights):
-            for j in range(0, len(w) - len(w) % 3, 3):
-                x, y, z = (F.col(c) for c in w[j : j + 3])
-                either = x.bitwiseXOR(y)
-                made.append(either.bitwiseXOR(z).alias(f"_b{turn}_{at}_{j}"))
-                made.append(x.bitwiseAND(y).bitwiseOR(either.bitwiseAND(z)).alias(f"_b{turn}_{at}_{j}c"))
-                after[at].append(f"_b{turn}_{at}_{j}")
-                after[at + 1].append(f"_b{turn}_{at}_{j}c")
-            after[at] += w[len(w) - len(w) % 3 :]
-        carried = {c for w in after for c in w} & {c for w in weights for c in w}
-        df = df.select(*whole, "_n", *sorted(carried), *made)
-        weights = after
-    half = F.floor(F.col("_n") / 2).cast("int")
-    more, equal = zero, F.lit(-1).cast("long")
-    for i in reversed(range(PLANES)):
-        t = F.when(half.bitwiseAND(F.lit(1 << i)) != 0, F.lit(-1)).otherwise(F.lit(0)).cast("long")
-        p = F.col(weights[i][0])
-        more = more.bitwiseOR(equal.bitwiseAND(p).bitwiseAND(F.bitwise_not(t)))
-        equal = equal.bitwiseAND(F.bitwise_not(p.bitwiseXOR(t)))
-    return df.select(*whole, more.alias(out))
-
-
 def _at_least(norm: Column, words: int) -> Column:
     """Whether a normalised line has so many words."""
     return (norm != "") & (F.substring_index(norm, " ", words - 1) != norm)
@@ -86,131 +62,210 @@ def _at_least(norm: Column, words: int) -> Column:
 
 def lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(doc_id, line_no, norm, words) of the lines of at least ``min_words`` words."""
-    # Normalised inside the array: a filter on an exploded column is not pushed into the expression again.
-    whole = F.transform(F.split(F.col(text_col).cast("string"), "\n"), normalised)
-    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(whole).alias("line_no", "norm"))
+    # Normalised as a whole: a line feed ends every run of characters that becomes a blank.
+    whole = F.regexp_replace(F.lower(column(text_col).cast("string")), r"[^\p{L}\p{N}\n]+", " ")
+    cut = docs.select(column(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(whole, "\n")).alias("line_no", "norm")).withColumn("norm", F.trim("norm"))
     # Told by a prefix: a filter on the array of words would be pushed down and cut every line twice.
     return cut.where(_at_least(F.col("norm"), min_words)).withColumn("words", F.split("norm", " "))
 
 
+def blocks(df: DataFrame, hashes: str) -> DataFrame:
+    """``df`` with the blocks of each array of word hashes: block i has the words ``_n{i}``, the hash ``_h{i}``
+    of them in order of hash, and the bits ``_f{i}`` (at 0, 8, .. 48) for which more than half of them vote.
+
+    Blocks are ranges of the hash, so they are slices of the sorted hashes between the places of the ranges'
+    bounds. Blocks of more than 127 words have no bits.
+    """
+    whole, bounds = df.columns, [-(1 << 63) + (1 << 64) // BLOCKS * i for i in range(1, BLOCKS)]
+    df = df.withColumn("_s", F.sort_array(F.concat(hashes, F.array(*map(F.lit, bounds)))))
+    df = df.select(*whole, "_s", F.size("_s").alias("_n"), *(F.array_position("_s", F.lit(b)).cast("int").alias(f"_p{i}") for i, b in enumerate(bounds)))
+    lows, highs = [F.lit(0), *(F.col(f"_p{i}") for i in range(BLOCKS - 1))], [*(F.col(f"_p{i}") for i in range(BLOCKS - 1)), F.col("_n") + 1]
+    df = df.select(*whole, *(F.slice("_s", lo + 1, hi - lo - 1).alias(f"_b{i}") for i, (lo, hi) in enumerate(zip(lows, highs))))
+    zero, every = F.lit(0).cast("long"), range(BLOCKS)
+    votes = lambda b: F.when(F.size(b) <= 127, F.aggregate(b, zero, lambda a, h: a + h.bitwiseAND(F.lit(_LANES))))
+    df = df.select(*whole, *(F.size(f"_b{i}").alias(f"_n{i}") for i in every), *(F.xxhash64(f"_b{i}").alias(f"_h{i}") for i in every), *(votes(f"_b{i}").alias(f"_v{i}") for i in every))
+    # A lane's top bit is set once its count exceeds half.
+    top = lambda i: (F.col(f"_v{i}") + (127 - F.shiftright(F.col(f"_n{i}"), 1)) * F.lit(_LANES)).bitwiseAND(F.lit(128 * _LANES))
+    bits = (F.coalesce(F.shiftrightunsigned(top(i), 7), zero).alias(f"_f{i}") for i in every)
+    return df.select(*whole, *(f"_n{i}" for i in every), *(f"_h{i}" for i in every), *bits)
+
+
+def fingerprint() -> Column:
+    """The bits of all blocks in one number."""
+    out = F.col("_f0")
+    for i in range(1, BLOCKS):
+        out = out.bitwiseOR(F.shiftleft(F.col(f"_f{i}"), i))
+    return out
+
+
 def _key(kind: int, value: Column) -> Column:
     """A 64-bit key with its kind in the top bits: words left (2) sort before runs (3) and blocks (0)."""
     return F.shiftrightunsigned(value, 2).bitwiseOR(F.lit(((kind + 2) % 4 - 2) << 62))
 
 
-def word_keys(hashes: str) -> Column:
-    """The keys of a line that stand for its words but a few, from its words' hashes."""
+def _without(hashes: str) -> Column:
+    """The keys of a line of at most SHORT words without any one of them, or without both ends."""
     h, n = F.col(hashes), F.size(hashes)
     # Position SHORT leaves no word out. Without both ends, two words at least must be left.
     less = F.transform(F.sequence(F.lit(0), F.lit(SHORT)), lambda j: F.xxhash64(F.filter(h, lambda _, i: i != j)))
     less = F.when(n >= 4, F.concat(less, F.array(F.xxhash64(F.slice(h, F.lit(2), F.greatest(n - 2, F.lit(1))))))).otherwise(less)
-    fits = lambda most: F.coalesce(*(F.when(most >= r, F.lit(r)) for r in reversed(RUNS)))
-    # The run of a line and of one that is a tenth shorter, so that both have one of equal length.
-    sizes = F.array(fits((n - 1) / 2), F.coalesce(fits((n * 0.9 - 2) / 2), F.lit(RUNS[0])))
-    run = lambda r, side, start: F.xxhash64(F.lit(side), F.slice(h, start, r))
-    runs = F.flatten(F.transform(sizes, lambda r: F.array(run(r, 0, F.lit(1)), run(r, 0, F.lit(2)), run(r, 1, n - r + 1), run(r, 1, n - r))))
-    keyed = lambda kind, keys: F.transform(keys, lambda k: _key(kind, k))
-    none = F.array().cast("array<bigint>")
-    # Lines of SHORT - 1 and SHORT words have both kinds, so that they meet shorter and longer ones.
-    return F.array_distinct(F.concat(F.when(n <= SHORT, keyed(2, less)).otherwise(none), F.when(n >= SHORT - 1, keyed(3, runs)).otherwise(none)))
-
-
-def _close(p: Column, q: Column, share: float) -> Column:
-    longer = F.greatest(F.length(p), F.length(q))
-    most = F.floor(longer * (1 - share) + 1e-9)
-    return F.when(F.abs(F.length(p) - F.length(q)) > most, F.lit(False)).otherwise(F.call_function("levenshtein", p, q, most.cast("int")) >= 0)
-
+    return F.array_distinct(F.transform(less, lambda k: _key(2, k)))
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, share: float = 0.9, hamming: int = 12, work: Scratch | None = None) -> DataFrame:
-    """(doc_id, line_no) of every line of which an equal or similar one stays elsewhere.
 
-    Lines of fewer than ``min_words`` words, blank lines and null or empty texts lose nothing. The
-    lines of rows with a null id are compared like others; a null id sorts first, so its lines stay.
-    Of rows that repeat an id, the lines of equal number are told apart by nothing: the first stays
-    and is not listed. An empty table gives no rows. The result reads the table ``occurs`` of ``work``.
+def _runs(hashes: str, words: str) -> list[Column]:
+    """The keys of a line of SHORT to RUN_LINES words: runs of its words after the first and before the last one."""
+    n = F.col(words)
+    fits = lambda most: F.coalesce(*(F.when(most >= r, F.lit(r)) for r in reversed(RUNS)))
+    # The run of a line and of one that is a tenth shorter, so that both have one of equal length.
+    one, two = fits((n - 2) / 2), F.coalesce(fits((n * 0.9 - 3) / 2), F.lit(RUNS[0]))
+    run = lambda r, start, side: _key(3, F.xxhash64(F.lit(side), F.slice(hashes, start, r)))
+    ends = lambda r: (run(r, F.lit(2), 0), run(r, n - r, 1))
+    fit = n.between(SHORT, RUN_LINES)
+    return [*(F.when(fit, k) for k in ends(one)), *(F.when(fit & (one != two), k) for k in ends(two))]
+
+
+def _core(p: Column, q: Column) -> Column:
+    """(p, q) without their common start and end, found by halving steps; edit distance does not change."""
+    pair = lambda x, y: F.struct(x.alias("p"), y.alias("q"))
+    tail = lambda x, s: F.substring(x, -s, s)
+    after = lambda x, s: F.substring(x, s + 1, F.length(x))
+    until = lambda x, s: F.substring(x, F.lit(1), F.length(x) - s)
+    steps = F.array(*(F.lit(1 << k) for k in range(13, -1, -1)))
+    front = lambda a, s: F.when(F.substring(a["p"], F.lit(1), s) == F.substring(a["q"], F.lit(1), s), pair(after(a["p"], s), after(a["q"], s))).otherwise(a)
+    back = lambda a, s: F.when(tail(a["p"], s) == tail(a["q"], s), pair(until(a["p"], s), until(a["q"], s))).otherwise(a)
+    return F.aggregate(steps, F.aggregate(steps, pair(p, q), front), back)
+
+
+def _close(pairs: DataFrame, share: float) -> DataFrame:
+    """The (src, dst) of ``pairs`` whose texts p and q are alike.
+
+    The distance table of whole texts costs the product of their lengths, so it comes last: texts whose
+    differing middles are short enough, or whose words differ little one by one, pass without it.
     """
-    work = work or Scratch(docs.sparkSession, "line-dedup")
+    most = F.floor(F.greatest(F.length("p"), F.length("q")) * (1 - share) + 1e-9).cast("int")
+    cut = pairs.withColumn("most", most).where(F.abs(F.length("p") - F.length("q")) <= F.col("most")).withColumn("core", _core(F.col("p"), F.col("q")))
+    p, q = F.col("core.p"), F.col("core.q")
+    one, two = F.split(p, " "), F.split(q, " ")
+    word = lambda x, y: F.when(x == y, F.lit(0)).otherwise(F.levenshtein(x, y))
+    aligned = F.aggregate(F.zip_with(one, two, word), F.lit(0), lambda n, x: n + x)
+    # Blanks align with blanks, so the sum is the cost of one way to edit p into q.
+    by_word = F.when(F.size(one) == F.size(two), aligned <= F.col("most")).otherwise(F.lit(False))
+    near = F.when(F.greatest(F.length(p), F.length(q)) <= F.col("most"), F.lit(True)).when(by_word, F.lit(True))
+    return cut.where(near.otherwise(F.call_function("levenshtein", p, q, F.col("most")) >= 0)).select("src", "dst")
+
+
+def prepared(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """Each line's place, hashes (k1, k2), lengths, fingerprint, keys (c0, c1, ..) and what edits are counted on."""
     seen = lines(docs, id_col, text_col, min_words).select(
         "doc_id", "line_no", "norm", F.length("norm").alias("n"), F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(7), "norm").alias("k2"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), F.xxhash64(F.substring_index("norm", " ", 2)).alias("head"), F.xxhash64(F.substring_index("norm", " ", -2)).alias("tail"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
-    seen = seen.withColumn("few", F.slice(F.sort_array(F.array_distinct("hashes")), 1, FEATURES)).withColumn("near", word_keys("hashes"))
-    seen = seen.withColumn("codes", F.array_join(F.transform("hashes", lambda h: F.chr(F.pmod(h, F.lit(CODES)) + 33)), ""))
-    seen = simhash(seen.drop("hashes"), "few", "sim")
-    seen = work.table(seen.select("doc_id", "line_no", "k1", "k2", "n", "sim", "head", "tail", "near", "codes", F.when(F.col("n") <= LONG, F.col("norm")).alias("norm")), "lines")
-    classes = seen.groupBy("k1", "k2").agg(F.count("*").alias("times"), F.min("n").alias("n"), F.min(F.length("codes")).alias("words"), F.min("sim").alias("sim"), F.min("head").alias("head"), F.min("tail").alias("tail"), F.min("near").alias("near"))
-    classes = work.table(classes, "classes")
-
-    block = lambda j: F.shiftrightunsigned("sim", 16 * j).bitwiseAND(F.lit(0xFFFF))
-    blocks = F.array(*(_key(0, F.xxhash64(F.lit(f"{j}{side}"), block(j), F.col(side))) for j in range(4) for side in ("head", "tail")))
-    keys = F.array_distinct(F.concat("near", blocks))
-
-    def met(kind: str, of: Column) -> DataFrame:
-        """(key, id, hub) of the keys that more than one class has."""
-        banded = classes.select(F.col("k1").alias("id"), F.explode(of).alias("key"))
-        hubs = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top")
-        return work.table(banded.join(hubs.drop("top"), "key"), f"met-{kind}")
-
-    # One kind after the other: each has its own shuffle, deleted before the next.
-    members = met("blocks", blocks).union(met("words", F.col("near")))
-    info = classes.select(F.col("k1").alias("id"), "n", "words", "sim", keys.alias("keys")).join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    info = work.table(info, "info")
-
-    # What edits are counted on, for the classes that share a key.
-    texts = seen.select(F.col("k1").alias("id"), "norm", "codes").join(info.select("id"), "id", "left_semi").groupBy("id").agg(F.min("norm").alias("norm"), F.min("codes").alias("codes"))
-    texts = work.table(texts, "texts")
+    code = lambda h: F.hex(F.pmod(h, F.lit(CODES)) + 0x3400)
+    codes = F.decode(F.unhex(F.array_join(F.transform("hashes", code), "")), "UTF-16BE")
+    seen = seen.withColumn("words", F.size("hashes")).select("*", F.when(F.col("n") > 0.8 * LONG, codes).alias("codes"), F.when(F.col("words") <= SHORT, _without("hashes")).alias("less"))
+    seen = seen.select("*", *(k.alias(f"r{i}") for i, k in enumerate(_runs("hashes", "words"))))
+    seen = blocks(seen, "hashes")
+    block = lambda i: F.when((F.col("words") >= BLOCKED) & (F.col(f"_n{i}") >= LEAST), _key(0, F.xxhash64(F.lit(i), f"_h{i}")))
+    # The places of the keys: runs, then blocks or, in short lines, what is left without a word.
+    rest = [block(i) if i < BLOCKS else F.lit(None).cast("long") for i in range(KEYS - 2)]
+    short = [F.get("less", F.lit(i)) for i in range(KEYS - 2)]
+    keys = [F.col("r0"), F.col("r1"), *(F.coalesce(b, s) for b, s in zip(rest, short))]
+    keys[2 + BLOCKS :] = [F.coalesce(k, r) for k, r in zip(keys[2 + BLOCKS :], (F.col("r2"), F.col("r3"), F.lit(None), F.lit(None)))]
+    return seen.select("doc_id", "line_no", "k1", "k2", "n", "words", F.when(F.col("n") <= LONG, F.col("norm")).alias("norm"), "codes", fingerprint().alias("sim"), *(k.alias(f"c{i}") for i, k in enumerate(keys)))
+
+
+def _removed(docs: DataFrame, id_col: str, text_col: str, min_words: int, share: float, hamming: int, work: Scratch) -> DataFrame:
+    """As ``removed_lines``, with repeated rows for repeated ids; the result reads the table ``occurs`` of ``work``."""
+    # ``row`` is fixed once it is written.
+    seen = work.table(prepared(docs, id_col, text_col, min_words).withColumn("row", F.monotonically_increasing_id()), "lines")
+    facts, keys = ["n", "words", "sim"], [f"c{i}" for i in range(KEYS)]
+    classes = seen.groupBy("k1", "k2").agg(F.count("*").alias("times"), *(F.min(c).alias(c) for c in ["row", *facts, *keys]))
+    # The number of a class: how frequent it is (a power of four), then its hash; so the largest of a key is its hub.
+    level = F.least(F.floor(F.log2("times") / 2), F.lit(15)).cast("long")
+    classes = work.table(classes.withColumn("id", F.shiftleft(level, 59).bitwiseOR(F.shiftrightunsigned("k1", 5))), "classes")
+    held = F.array(*keys)
+
+    # (key, id, hub) of the keys that more than one class has.
+    banded = classes.select("id", F.explode(held).alias("key")).where("key is not null")
+    hubs = banded.groupBy("key").agg(F.max("id").alias("hub"), F.min("id").alias("low")).where("hub <> low").drop("low")
+    members = work.table(banded.join(hubs.hint("shuffle_hash"), "key"), "members")
+
+    # Lengths that differ by more than the edits allowed can't pass _close.
+    differ = lambda c, s: F.abs(F.col(f"{c}1") - F.col(f"{c}2")) <= F.floor(F.greatest(f"{c}1", f"{c}2") * s + 1e-9)
+    bits = F.bit_count(F.col("sim1").bitwiseXOR(F.col("sim2")))
+    alike = F.when(F.greatest("n1", "n2") <= LONG, differ("n", 1 - share)).otherwise(differ("words", 1 - share) & differ("n", 0.2))
+    alike = alike & ((F.least("words1", "words2") < BLOCKED) | (bits <= hamming))
+    of = lambda i, *more: [*(F.col(c).alias(f"{c}{i}") for c in facts), *more]
+    first = members.where("id <> hub").select(F.col("id").alias("src"), F.col("hub").alias("dst")).distinct()
+    first = first.join(classes.select(F.col("id").alias("src"), *of(1)), "src").join(classes.select(F.col("id").alias("dst"), *of(2)), "dst").where(alike)
+    tried = work.table(first.select("src", "dst"), "pairs-1")
+
+    # What edits are counted on, one row for each class that shares a key.
+    wanted = members.select("id").distinct().join(classes.select("id", "row"), "id")
+    texts = work.table(seen.select("row", "norm", "codes").join(wanted.hint("shuffle_hash"), "row").drop("row"), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(texts.toDF("src", "norm1", "codes1"), "src")
-        both = left.join(texts.toDF("dst", "norm2", "codes2"), "dst")
+        left = pairs.join(texts.select(F.col("id").alias("src"), F.col("norm").alias("norm1"), F.col("codes").alias("codes1")), "src")
+        both = left.join(texts.select(F.col("id").alias("dst"), F.col("norm").alias("norm2"), F.col("codes").alias("codes2")), "dst")
         # The kind of signature is chosen for the pair: words for both lines if either is long.
         chars = F.col("norm1").isNotNull() & F.col("norm2").isNotNull()
         pick = lambda i: F.when(chars, F.col(f"norm{i}")).otherwise(F.col(f"codes{i}"))
-        return both.where(_close(pick(1), pick(2), share)).select("src", "dst")
+        return _close(both.select("src", "dst", pick(1).alias("p"), pick(2).alias("q")), share)
 
-    bits = F.bit_count(F.col("sim1").bitwiseXOR(F.col("sim2")))
-    apart = F.when(F.col("key") < -(1 << 62), F.lit(True)).when(F.col("key") < 0, bits <= hamming + LOOSE).otherwise(bits <= hamming)
-    # Lengths that differ by more than the edits allowed can't pass _close.
-    differ = lambda c: F.abs(F.col(f"{c}1") - F.col(f"{c}2")) <= F.floor(F.greatest(f"{c}1", f"{c}2") * (1 - share) + 1e-9)
-    alike = apart & F.when(F.greatest("n1", "n2") <= LONG, differ("n")).otherwise(differ("words"))
-    facts = lambda i: info.select(F.col("id").alias(f"id{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("n", "words", "sim")))
-    first = members.where("id <> hub").join(facts(1), F.col("id") == F.col("id1")).join(facts(2), F.col("hub") == F.col("id2")).where(alike)
-    tried = work.table(first.select(F.col("id").alias("src"), F.col("hub").alias("dst")).distinct(), "pairs-1")
     links = work.table(confirmed(tried), "links-1")
-
-    comp = info.select("id").join(connected_components(links, work, "cc-1"), "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
+    found = connected_components(links, work, "cc-1")
+    comp = members.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
     mixed = members.select("key", "id").join(work.table(comp, "comp"), "id")
     open_ = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    mixed = mixed.join(open_.select("key"), "key").join(info, "id")
-    one, two = (mixed.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("id", "n", "words", "sim", "keys", "comp"))) for i in (1, 2))
+    mixed = mixed.join(open_.select("key"), "key").join(classes.select("id", *facts, held.alias("keys")), "id")
+    one, two = (mixed.select("key", *of(i, F.col("id").alias(f"id{i}"), F.col("keys").alias(f"keys{i}"), F.col("comp").alias(f"comp{i}"))) for i in (1, 2))
     across = one.join(two, "key").where((F.col("id1") > F.col("id2")) & (F.col("comp1") != F.col("comp2")) & alike & (F.array_min(F.array_intersect("keys1", "keys2")) == F.col("key")))
-    across = across.select(F.col("id1").alias("src"), F.col("id2").alias("dst")).distinct().join(tried, ["src", "dst"], "left_anti")
-    links = work.table(links.union(confirmed(work.table(across, "pairs-2"))), "links-2")
-    for label in ("met-blocks", "met-words", "info", "texts", "comp", "pairs-1", "pairs-2", "links-1"):
+    across = across.select(F.col("id1").alias("src"), F.col("id2").alias("dst")).distinct()
+    tried = tried.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+    links = work.table(links.union(confirmed(work.table(across.join(tried, ["src", "dst"], "left_anti"), "pairs-2"))), "links-2")
+    for label in ("members", "texts", "comp", "pairs-1", "pairs-2", "links-1"):
         work.drop(label)
     found = connected_components(links, work, "cc-2")
 
     # Occurrences of every group of more than one line; all but the first go.
-    grouped = classes.join(found.withColumnRenamed("id", "k1"), "k1", "left").where("times > 1 or component is not null")
+    grouped = classes.select("k1", "k2", "id", "times").join(found, "id", "left").where("times > 1 or component is not null")
     grouped = grouped.select("k1", "k2", F.coalesce("component", "k1").alias("g"), F.when(F.col("component").isNull(), F.col("k2")).alias("g2"))
     occurs = work.table(seen.select("doc_id", "line_no", "k1", "k2").join(grouped, ["k1", "k2"]).select("doc_id", "line_no", "g", "g2"), "occurs")
     for label in ("lines", "classes", "links-2"):
         work.drop(label)
     stays = occurs.groupBy("g", "g2").agg(F.min(F.struct("doc_id", "line_no")).alias("stay"))
     gone = occurs.join(stays, (occurs.g == stays.g) & occurs.g2.eqNullSafe(stays.g2)).where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("stay")))
-    return gone.select("doc_id", "line_no").where("doc_id is not null").distinct()
+    return gone.select("doc_id", "line_no").where("doc_id is not null")
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, share: float = 0.9, hamming: int = 16) -> DataFrame:
+    """(doc_id, line_no) of every line of which an equal or similar one stays elsewhere.
+
+    Lines of fewer than ``min_words`` words, blank lines and null or empty texts lose nothing. The
+    lines of rows with a null id are compared like others; a null id sorts first, so its lines stay.
+    Of rows that repeat an id, the lines of equal number are told apart by nothing: the first stays
+    and is not listed. Of equal and similar lines, the one of smallest (doc id, line number) stays,
+    so there are no ties. An empty table gives no rows.
+    """
+    return _removed(docs, id_col, text_col, min_words, share, hamming, Scratch(docs.sparkSession, "line-dedup")).distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, share: float = 0.9, hamming: int = 12) -> DataFrame:
-    """``docs``, all columns and rows, with the repeated lines taken out of the text, and two new
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, share: float = 0.9, hamming: int = 16, removed: str = "removed", emptied: str = "emptied") -> DataFrame:
+    """``docs``, all columns and rows, with the repeated lines taken out of the text, and two new last
     columns: ``removed`` (array of line numbers, null if none) and ``emptied`` (lines were taken out
-    and none of ``min_words`` words is left)."""
+    and none of ``min_words`` words is left). A column of ``docs`` that has such a name gives way to
+    the new one; the parameters choose other names."""
     work = Scratch(docs.sparkSession, "line-dedup-out")
-    gone = removed_lines(docs, id_col, text_col, min_words, share, hamming, work)
-    gone = work.table(gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed")), "removed").withColumnRenamed("doc_id", "_gone_id")
+    gone = _removed(docs, id_col, text_col, min_words, share, hamming, work)
+    key, out_lines, out_empty = free(docs, "_gone_id", "_removed", "_emptied")
+    gone = work.table(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias(out_lines)), "removed").withColumnRenamed("doc_id", key)
     work.drop("occurs")
-    out = docs.join(gone, F.col(id_col) == F.col("_gone_id"), "left").drop("_gone_id")
-    kept = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(F.col("removed"), i))
-    out = out.withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-    long_ = F.exists(F.split(text_col, "\n"), lambda x: _at_least(normalised(x), min_words))
-    return out.withColumn("emptied", F.col("removed").isNotNull() & ~long_)
+    # Hashed on the side of the removed lines, at every size: no text is sorted, none broadcast.
+    out = docs.join(gone.hint("shuffle_hash"), column(id_col) == F.col(key), "left").drop(key)
+    text, went = column(text_col), F.col(out_lines)
+    cut = F.split(text, "\n")
+    kept = F.array_join(F.filter(cut, lambda x, i: ~F.array_contains(went, i)), "\n")
+    long_ = F.exists(F.split(text, "\n"), lambda x: _at_least(normalised(x), min_words))
+    new = out.select(*(F.when(went.isNull(), text).otherwise(kept).alias(text_col) if c == text_col else column(c) for c in out.columns))
+    new = new.withColumn(out_empty, F.when(went.isNull(), F.lit(False)).otherwise(~long_))
+    return replaced(new, **{removed: out_lines, emptied: out_empty})

@@ -420,7 +420,7 @@ def test_line_dedup(spark):
     assert out[None].text == s(line) and out[1].removed == [0] and out[1].text == "\nshort one\n" + s(long_)
     assert out[2].removed == [0] and out[2].text == "short one\n" + s(other) and not out[2].emptied
     assert out[4].text == s(far) and out[5].text is None and out[6].text == "" and out[7].removed is None
-    assert out[3].emptied == (out[3].removed == [0])
+    assert out[3].emptied and out[3].removed == [0]
     assert line_dedup.dedup_lines(odd(spark, *rows)).columns == [*ODD_NAMES, "removed", "emptied"]
 
 
@@ -439,12 +439,22 @@ def test_line_dedup_precision_and_recall(spark, docs):
             assert any(difflib.SequenceMatcher(None, w, x.split(), autojunk=False).ratio() > 0.75 or difflib.SequenceMatcher(None, r.norm, x, autojunk=False).ratio() > 0.75 for x in by)
 
 
-def test_line_simhash_is_a_majority(spark):
-    hs = [[1, 3, 7], [-1, 0, 5], [9], [2**62, -(2**63), 2**62 + 1]]
-    df = line_dedup.simhash(spark.createDataFrame([(h,) for h in hs], "h array<bigint>"), "h", "m").select("m")
-    bit = lambda x, i: (x & (1 << 64) - 1) >> i & 1
-    want = [sum((sum(bit(x, i) for x in h) > len(h) // 2) << i for i in range(64)) for h in hs]
-    assert [r.m & (1 << 64) - 1 for r in df.collect()] == want
+def test_line_fingerprint_is_a_majority_of_each_block(spark):
+    rng = np.random.default_rng(5)
+    sizes = [1, 2, 7, 8, 40, 300, 1200]
+    hs = [[int(x) for x in rng.integers(-(1 << 63), 1 << 63, n)] for n in sizes] + [[5, 5, 5], [-(2**63), 2**63 - 1]]
+    df = line_dedup.blocks(spark.createDataFrame([(i, h) for i, h in enumerate(hs)], "i int, h array<bigint>"), "h")
+    of = lambda x: min(((x + (1 << 63)) * line_dedup.BLOCKS) >> 64, line_dedup.BLOCKS - 1)
+    for r in df.withColumn("sim", line_dedup.fingerprint()).collect():
+        want = 0
+        for b in range(line_dedup.BLOCKS):
+            mine = [x for x in r.h if of(x) == b]
+            assert r[f"_n{b}"] == len(mine)
+            for j in range(0, 8 * line_dedup.VOTES, 8):
+                want |= (len(mine) <= 127 and sum(x >> j & 1 for x in mine) * 2 > len(mine)) << j + b
+        assert r.sim == want
+    same = df.where(F.col("i") == 4).unionByName(line_dedup.blocks(spark.createDataFrame([(0, hs[4][::-1])], "i int, h array<bigint>"), "h")).drop("i", "h").distinct()
+    assert same.count() == 1
 
 
 def edited(rng, words, how):
@@ -480,6 +490,45 @@ def test_line_dedup_recall_by_length(spark):
     assert min(recall.values()) >= 0.9 and sum(map(sum, found.values())) >= 0.98 * len(cases)
 
 
+def test_line_dedup_scattered_changes(spark):
+    """Recall of lines with one letter changed in each of several words far from each other."""
+    rng = np.random.default_rng(23)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvw"), 6))
+    rows, cases = [], []
+    for n in (36, 60, 120):
+        for changes in (1, 2, 3):
+            for _ in range(20):
+                base = [word() for _ in range(n)]
+                twin = list(base)
+                for i in rng.choice(n, changes, replace=False):
+                    twin[i] = twin[i][:-1] + "z"
+                cases.append((n, changes))
+                rows += [(2 * len(cases), " ".join(base)), (2 * len(cases) + 1, " ".join(twin))]
+    gone = {r.doc_id for r in line_dedup.removed_lines(odd(spark, *rows)).collect()}
+    found = {}
+    for i, c in enumerate(cases, 1):
+        found.setdefault(c, []).append(2 * i + 1 in gone)
+    recall = {c: sum(x) / len(x) for c, x in found.items()}
+    print(recall)
+    assert min(v for (_, changes), v in recall.items() if changes <= 2) >= 0.9 and min(recall.values()) >= 0.8
+
+
+def test_line_dedup_names_and_edges(spark):
+    """Columns that clash with the operator's own are replaced or left alone; odd rows give defined results."""
+    assert line_dedup.dedup_lines(odd(spark)).count() == 0
+    text = "one line that stands twice here"
+    rows = [(1, text, "r", 1, "x"), (2, text + "\nand more of it", None, 2, "y"), (3, None, "r", 3, "z"), (4, "x " * 200_000 + "end", "r", 4, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Removed string, emptied int, _gone_id string")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "_gone_id", "removed", "emptied"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[2].removed == [0] and got[2].text == "and more of it" and not got[2].emptied and got[4].text == rows[3][1] and got[3].text is None
+    again = {r.doc_id: r for r in line_dedup.dedup_lines(out).collect()}
+    assert again[2].removed is None and again[2].text == "and more of it" and again[1].text == text
+    kept = line_dedup.dedup_lines(df, removed="gone", emptied="bare")
+    assert kept.columns == [*df.columns, "gone", "bare"] and {r.Removed for r in kept.collect()} == {"r", None}
+
+
 def test_line_dedup_across_lengths(spark):
     rng = np.random.default_rng(22)
     word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvw"), n))
