@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from basalt.llm import decontaminate, language_id, line_dedup, near_dedup, packing
+from basalt.llm._names import column, columns, free
 from basalt.llm._scratch import Scratch
 
 
@@ -17,19 +18,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not one of the known ones, or not clear, go."""
     found = language_id.identify(docs)
     rejected = Scratch(spark, "stage-language").table(found.where("not accepted and doc_id is not null").select("doc_id").distinct(), "rejected")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(rejected, "doc_id", "left_anti").select(*columns(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand elsewhere leave the text; documents of which nothing else was left go."""
-    return line_dedup.dedup_lines(docs).where("not emptied").select(*docs.columns)
+    removed, emptied = free(docs, "removed", "emptied")
+    return line_dedup.dedup_lines(docs, removed=removed, emptied=emptied).where(~column(emptied)).select(*columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity 0.8) stays."""
     found = near_dedup.near_duplicates(docs)
     gone = Scratch(spark, "stage-near").table(found.where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*columns(docs))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
