@@ -98,6 +98,11 @@ def fingerprint() -> Column:
     return out
 
 
+def _codes(hashes: Column) -> Column:
+    """A text of one character a word."""
+    return F.decode(F.unhex(F.array_join(F.transform(hashes, lambda h: F.hex(F.pmod(h, F.lit(CODES)) + 0x3400)), "")), "UTF-16BE")
+
+
 def _key(kind: int, value: Column) -> Column:
     """A 64-bit key with its kind in the top bits: words left (2) sort before runs (3) and blocks (0)."""
     return F.shiftrightunsigned(value, 2).bitwiseOR(F.lit(((kind + 2) % 4 - 2) << 62))
@@ -125,12 +130,13 @@ def _runs(hashes: str, words: str) -> list[Column]:
 
 
 def _core(p: Column, q: Column) -> Column:
-    """(p, q) without their common start and end, found by halving steps; edit distance does not change."""
+    """(p, q) without up to 1023 characters of their common start and end, found by halving steps; edit
+    distance does not change."""
     pair = lambda x, y: F.struct(x.alias("p"), y.alias("q"))
     tail = lambda x, s: F.substring(x, -s, s)
     after = lambda x, s: F.substring(x, s + 1, F.length(x))
     until = lambda x, s: F.substring(x, F.lit(1), F.length(x) - s)
-    steps = F.array(*(F.lit(1 << k) for k in range(13, -1, -1)))
+    steps = F.array(*(F.lit(1 << k) for k in range(9, -1, -1)))
     front = lambda a, s: F.when(F.substring(a["p"], F.lit(1), s) == F.substring(a["q"], F.lit(1), s), pair(after(a["p"], s), after(a["q"], s))).otherwise(a)
     back = lambda a, s: F.when(tail(a["p"], s) == tail(a["q"], s), pair(until(a["p"], s), until(a["q"], s))).otherwise(a)
     return F.aggregate(steps, F.aggregate(steps, pair(p, q), front), back)
@@ -139,8 +145,8 @@ def _core(p: Column, q: Column) -> Column:
 def _close(pairs: DataFrame, share: float) -> DataFrame:
     """The (src, dst) of ``pairs`` whose texts p and q are alike.
 
-    The distance table of whole texts costs the product of their lengths, so it comes last: texts whose
-    differing middles are short enough, or whose words differ little one by one, pass without it.
+    The distance table of whole texts costs the product of their lengths, so it comes last: texts pass
+    without it whose differing middles are short enough, or whose words differ little one by one.
     """
     most = F.floor(F.greatest(F.length("p"), F.length("q")) * (1 - share) + 1e-9).cast("int")
     cut = pairs.withColumn("most", most).where(F.abs(F.length("p") - F.length("q")) <= F.col("most")).withColumn("core", _core(F.col("p"), F.col("q")))
@@ -160,12 +166,10 @@ def prepared(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Dat
         "doc_id", "line_no", "norm", F.length("norm").alias("n"), F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(7), "norm").alias("k2"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
-    code = lambda h: F.hex(F.pmod(h, F.lit(CODES)) + 0x3400)
-    codes = F.decode(F.unhex(F.array_join(F.transform("hashes", code), "")), "UTF-16BE")
-    seen = seen.withColumn("words", F.size("hashes")).select("*", F.when(F.col("n") > 0.8 * LONG, codes).alias("codes"), F.when(F.col("words") <= SHORT, _without("hashes")).alias("less"))
+    seen = seen.withColumn("words", F.size("hashes")).select("*", F.when(F.col("n") > 0.8 * LONG, _codes(F.col("hashes"))).alias("codes"), F.when(F.col("words") <= SHORT, _without("hashes")).alias("less"))
     seen = seen.select("*", *(k.alias(f"r{i}") for i, k in enumerate(_runs("hashes", "words"))))
-    seen = blocks(seen, "hashes")
-    block = lambda i: F.when((F.col("words") >= BLOCKED) & (F.col(f"_n{i}") >= LEAST), _key(0, F.xxhash64(F.lit(i), f"_h{i}")))
+    seen = blocks(seen.withColumn("hashes", F.when(F.col("words") >= BLOCKED, F.col("hashes"))), "hashes")
+    block = lambda i: F.when(F.col(f"_n{i}") >= LEAST, _key(0, F.xxhash64(F.lit(i), f"_h{i}")))
     # The places of the keys: runs, then blocks or, in short lines, what is left without a word.
     rest = [block(i) if i < BLOCKS else F.lit(None).cast("long") for i in range(KEYS - 2)]
     short = [F.get("less", F.lit(i)) for i in range(KEYS - 2)]
