@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("basalt.llm.queries")
@@ -227,6 +228,37 @@ def test_ann(spark):
     assert hit / total >= 0.9
 
 
+def _clustered(spark, rows, clusters, dim=24):
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(clusters, dim))[rng.integers(0, clusters, rows)] * 4 + rng.normal(size=(rows, dim))
+    return x, spark.createDataFrame(pa.table({"vec_id": np.arange(rows), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dim).cast(pa.list_(pa.float64()))}))
+
+
+def test_ann_scans_little_of_clustered_vectors(spark):
+    x, v = _clustered(spark, 50_000, 200)
+    queries = v.where("vec_id % 250 = 0")
+    index = ann.Index(v, 10, "vec_id", "embedding", ann.Settings())
+    assert len(index.count) > 150 and index.count.sum() == 50_000 and index.table.count() == 50_000
+    probed = index.probes(queries, "vec_id", "embedding").toPandas()
+    scanned = probed.groupby("id").lists.apply(lambda ls: sum(index.count[c] for part in ls for c in part))
+    assert len(scanned) == 200 and scanned.mean() < 0.2 * len(x)
+    hit = 0
+    for q, g in index.nearest(queries, "vec_id", "embedding").toPandas().groupby("query_id"):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d, kind="stable")[:10]) & set(g.vec_id))
+    assert hit / 2000 >= 0.9
+
+
+def test_ann_long_lists_and_many_queries(spark):
+    """A list over several shards and several blocks of queries give the same answers."""
+    x, v = _clustered(spark, 3000, 3, 8)
+    v = v.withColumn("VEC", F.lit(1)).withColumn("list", F.lit("x")).withColumn("codes", F.lit(None).cast("string"))
+    queries = v.where("vec_id % 20 = 0")
+    few = ann.search(v, queries, settings=ann.Settings(lists=3, chunk=200, block=16)).orderBy("query_id", "rank").collect()
+    assert few == ann.search(v, queries, settings=ann.Settings(lists=3)).orderBy("query_id", "rank").collect() and len(few) == 1500
+
+
 def test_ann_edges(spark):
     bad = [(1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [1.0]), (None, [1.0, 1.0])]
     same = [(i, [1.0, 2.0]) for i in range(10, 40)]
