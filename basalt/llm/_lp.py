@@ -34,8 +34,8 @@ def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float,
 def patterns(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0.0005) -> list[tuple[np.ndarray, int]]:
     """Integral patterns (counts per item, times) that cover ``demand`` exactly within ``capacity``.
 
-    Columns enter until no pattern can lower the linear program by more than ``gap`` of it; the
-    solution is rounded down, and what is left (less than one sequence a pattern) goes by
+    Columns enter until the linear program is within ``gap`` of what the items' sizes alone need, or no
+    pattern can lower it by more than ``gap`` of it; the solution is rounded down, and what is left (less than one sequence a pattern) goes by
     first fit decreasing.
     """
     m = len(size)
@@ -44,7 +44,10 @@ def patterns(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0
     columns = np.diag(capacity // size).astype(float)
     inverse = np.diag(1.0 / np.diag(columns))
     x = inverse @ demand
+    least = float(demand @ size) / capacity
     for _ in range(40 * m):
+        if x.sum() <= (1 + gap) * least:
+            break
         price, entering = knapsack(np.maximum(inverse.sum(0), 0), size, capacity)
         if price <= 1 + gap:
             break

@@ -98,7 +98,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096
     cut = work.table(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col), "pieces")
     counted = work.table(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     plan = Plan({r.length: r.n for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity, width)
-    ranked = cut.join(before(counted, "part", "n", "base", by=("length",)).drop("n"), ["length", "part"])
+    # A row for each length of each part: it grows with the input, so it is never broadcast.
+    ranked = cut.join(before(counted, "part", "n", "base", by=("length",)).drop("n").hint("shuffle_hash"), ["length", "part"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("rank")).alias("rank"))
 
     def run(batches):
