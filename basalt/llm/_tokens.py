@@ -3,11 +3,13 @@
 A byte-level BPE with the usual splitting pattern never lets a token cross from a non-space
 to a following white space, and a word-end BPE drops white space. So a text whose white space is
 single blanks or line feeds between words can be encoded word by word, and each distinct word only
-once per worker. All other texts, and tokenizers of other kinds, are encoded whole.
+once per worker. Both patterns also part a letter from a stop that ends a word, so the ids of such a word
+are put together from those of the word alone and of the stop. All other texts, and tokenizers of other kinds, are encoded whole.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -22,7 +24,8 @@ RUN_WORDS = 4096
 #: Distinct words that a worker remembers; beyond it the cache starts afresh.
 CACHE_WORDS = 1_000_000
 _encoders: dict[str, "Encoder"] = {}
-_separators = re.compile("[\x00\x1c-\x1f]")
+_separators = re.compile("[\x00\x02\x1c-\x1f]")
+_stop = re.compile("(?<=[A-Za-z])([.,;:!?])(?=\x1f|$)")
 
 
 def encoder(path: str) -> "Encoder":
@@ -39,8 +42,11 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cache: dict[str, bytes] = {}
-        self.opens: np.ndarray | None = None
+        self.edges: np.ndarray | None = None
         spec = json.loads(self.tokenizer.to_str())
+        norm = spec["normalizer"] or {}
+        self.lowers = any(n["type"] == "Lowercase" for n in norm.get("normalizers", [norm] if norm else []))
+        self.suffix = spec["model"].get("end_of_word_suffix")
         pre = spec["pre_tokenizer"] or {}
         steps = pre.get("pretokenizers", [])
         spaced = any(c.isspace() for t in spec["added_tokens"] for c in t["content"]) or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
@@ -51,9 +57,9 @@ class Encoder:
         """Keys of the cache whose ids, joined, are the text's; None if the text must be encoded whole."""
         if not (self.joined or self.dropped) or _separators.search(text):
             return None
-        words = text.split()
         if self.dropped:
-            return words
+            return text.split()
+        words = text.split()
         if " ".join(words) != text.replace("\n", " "):
             return None
         if not words:
@@ -63,34 +69,71 @@ class Encoder:
         return keys
 
     def _plain(self, key: str) -> str:
-        return key if self.dropped or key[0] == "\n" else key[1:] if key[0] == "\x00" else " " + key
+        return key if self.dropped or key[0] == "\n" else key[1:] if key[0] in "\x00\x02" else " " + key
+
+    def _forms(self, keys: list[str]) -> list[str]:
+        """Each key as keys whose ids, joined, are its own, between \x1e; all at once, as one text."""
+        text = "\x1f".join(keys)
+        if self.dropped and self.lowers and text.isascii():
+            text = text.lower()
+        return _stop.sub("\x1e\\1" if self.dropped else "\x1e\x02\\1", text).split("\x1f")
+
+    def learn(self, need: list[str]) -> None:
+        """Puts the ids of the words into the cache."""
+        plain = [k for k in need if k.isascii()]
+        other = [k for k in need if not k.isascii()]
+        forms = [f for part in (plain, other) if part for f in self._forms(part)]
+        self._learn(list({p for f in forms for p in f.split("\x1e")}.difference(self.cache)))
+        get = self.cache.__getitem__
+        made = [(k, b"".join(map(get, f.split("\x1e"))) if "\x1e" in f else get(f)) for k, f in zip(plain + other, forms) if k != f]
+        self.cache.update(made)
 
     def _learn(self, need: list[str]) -> None:
-        """Puts the ids of the words into the cache.
+        """Puts the ids of keys without a stop behind them into the cache.
 
-        Words that follow a blank are encoded many at a time: a token begins with the blank byte where a
-        word begins, and nowhere else. If the counts differ, each of the words is encoded alone.
+        Plain words are encoded many at a time: of a byte-level BPE a token begins with the blank byte where a
+        word begins, of a word-end BPE one ends with the suffix where a word of letters ends, and nowhere
+        else. If the counts differ, each of the words is encoded alone.
         """
         ids = lambda e: array("I", e.ids).tobytes()
+        tokens = lambda: (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
         if self.joined:
-            if self.opens is None:
-                self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.tokenizer.get_vocab_size())])
-            alone = [k for k in need if k[0] in "\x00\n"]
-            after = [k for k in need if k[0] not in "\x00\n"]
-            for s in range(0, len(after), RUN_WORDS):
-                part = after[s : s + RUN_WORDS]
-                row = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-                at = np.flatnonzero(self.opens[row])
-                if len(at) != len(part) or at[0]:
-                    alone += part
-                    continue
-                raw, cuts = row.tobytes(), [*(4 * at).tolist(), 4 * len(row)]
-                self.cache.update(zip(part, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
-            need = alone
-        self.cache.update(zip(need, map(ids, self.tokenizer.encode_batch_fast([self._plain(k) for k in need], add_special_tokens=False))))
+            many = [k for k in need if k[0] not in "\x00\x02\n"]
+            if self.edges is None:
+                self.edges = np.array([t.startswith("\u0120") for t in tokens()])
+        else:
+            many = [k for k in need if k.isascii() and k.isalpha()] if self.suffix else []
+            if self.edges is None and self.suffix:
+                self.edges = np.array([t.endswith(self.suffix) for t in tokens()])
+        alone = set(need).difference(many)
+        for s in range(0, len(many), RUN_WORDS):
+            part = many[s : s + RUN_WORDS]
+            row = np.array(self.tokenizer.encode_batch_fast([" " * self.joined + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.edges[row])
+            raw = row.tobytes()
+            if self.joined and len(at) == len(part) and not at[0]:
+                cuts = [*(4 * at).tolist(), 4 * len(row)]
+            elif not self.joined and len(at) == len(part) and at[-1] == len(row) - 1:
+                cuts = [0, *(4 * at + 4).tolist()]
+            else:
+                alone.update(part)
+                continue
+            self.cache.update(zip(part, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
+        alone = list(alone)
+        self.cache.update(zip(alone, map(ids, self.tokenizer.encode_batch_fast([self._plain(k) for k in alone], add_special_tokens=False))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        # Many small objects that all stay: collections would pass over them again and again for nothing.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         ids = lambda e: array("I", e.ids).tobytes()
         keys = [self._words(t) for t in texts]
         every = set().union(*(k for k in keys if k))
@@ -99,7 +142,7 @@ class Encoder:
             self.cache.clear()
             need = list(every)
         if need:
-            self._learn(need)
+            self.learn(need)
         get = self.cache.__getitem__
         return [b"".join(map(get, k)) if k is not None else ids(self.tokenizer.encode(t, add_special_tokens=False)) for k, t in zip(keys, texts)]
 
