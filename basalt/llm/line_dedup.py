@@ -11,9 +11,10 @@
 3. Classes of lines of ``BLOCKED`` words and more meet on such blocks. The key is a 64-bit hash of the
    block's words, not its few bits, so that the number of chance meetings does not grow with the corpus.
 4. Shorter lines have too few words a block. They meet on words of the line itself: a line of up to
-   ``SHORT`` words on what is left without one of its words or without both ends, others on a run of nearly
-   half the line after its first word and before its last one. Lines that differ in one word (changed,
-   added or missing), or in their first and last word, share such a key.
+   ``SHORT`` words on what is left without one of its words or without both ends, others on runs of a third of
+   the line at its start, in its middle and at its end. By the pigeonhole principle, longer lines that differ
+   in up to two changed words, or one added or missing, share such a key; short ones, if they differ
+   in one word or in both ends.
 5. Members of a key are compared with its hub, the most frequent class; those that stay in other components
    are compared with each other, each pair in the first key it shares, if the fingerprints of longer lines
    differ in at most ``hamming`` bits and their lengths do not rule it out.
@@ -41,12 +42,12 @@ LEAST = 4
 SHORT = 8
 #: Words of a line up to which it meets others on runs (a few more than BLOCKED), and words of a run.
 RUN_LINES = 38
-RUNS = (3, 4, 6, 8, 12, 16)
+RUNS = (3, 4, 5, 6, 8, 10, 12)
 #: Characters beyond which edits are counted in words, and the characters that stand for words (from U+3400 on).
 LONG = 1024
 CODES = 41_984
-#: Keys of a class at most: SHORT + 2 without some words and two runs (or blocks and four runs).
-KEYS = SHORT + 4
+#: Keys of a class at most: three runs and SHORT + 2 without some words (or, of longer lines, blocks and three more runs).
+KEYS = SHORT + 5
 #: Bits 0, 8, .. 48 of a word's hash are its votes; counts of up to 127 words fit in the lanes between them.
 _LANES = sum(1 << 8 * j for j in range(VOTES))
 
@@ -118,15 +119,15 @@ def _without(hashes: str) -> Column:
 
 
 def _runs(hashes: str, words: str) -> list[Column]:
-    """The keys of a line of SHORT to RUN_LINES words: runs of its words after the first and before the last one."""
+    """The keys of a line of SHORT to RUN_LINES words: runs of a third of it at its start, middle and end."""
     n = F.col(words)
-    fits = lambda most: F.coalesce(*(F.when(most >= r, F.lit(r)) for r in reversed(RUNS)))
+    fits = lambda most: F.coalesce(*(F.when(most >= r, F.lit(r)) for r in reversed(RUNS)), F.lit(RUNS[0]))
     # The run of a line and of one that is a tenth shorter, so that both have one of equal length.
-    one, two = fits((n - 2) / 2), F.coalesce(fits((n * 0.9 - 3) / 2), F.lit(RUNS[0]))
+    one, two = fits(n / 3), fits(n * 0.9 / 3)
     run = lambda r, start, side: _key(3, F.xxhash64(F.lit(side), F.slice(hashes, start, r)))
-    ends = lambda r: (run(r, F.lit(2), 0), run(r, n - r, 1))
+    thirds = lambda r: (run(r, F.lit(1), 0), run(r, F.floor((n - r) / 2).cast("int") + 1, 1), run(r, n - r + 1, 2))
     fit = n.between(SHORT, RUN_LINES)
-    return [*(F.when(fit, k) for k in ends(one)), *(F.when(fit & (one != two), k) for k in ends(two))]
+    return [*(F.when(fit, k) for k in thirds(one)), *(F.when(fit & (one != two), k) for k in thirds(two))]
 
 
 def _core(p: Column, q: Column) -> Column:
@@ -171,10 +172,10 @@ def prepared(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Dat
     seen = blocks(seen.withColumn("hashes", F.when(F.col("words") >= BLOCKED, F.col("hashes"))), "hashes")
     block = lambda i: F.when(F.col(f"_n{i}") >= LEAST, _key(0, F.xxhash64(F.lit(i), f"_h{i}")))
     # The places of the keys: runs, then blocks or, in short lines, what is left without a word.
-    rest = [block(i) if i < BLOCKS else F.lit(None).cast("long") for i in range(KEYS - 2)]
-    short = [F.get("less", F.lit(i)) for i in range(KEYS - 2)]
-    keys = [F.col("r0"), F.col("r1"), *(F.coalesce(b, s) for b, s in zip(rest, short))]
-    keys[2 + BLOCKS :] = [F.coalesce(k, r) for k, r in zip(keys[2 + BLOCKS :], (F.col("r2"), F.col("r3"), F.lit(None), F.lit(None)))]
+    rest = [block(i) if i < BLOCKS else F.lit(None).cast("long") for i in range(KEYS - 3)]
+    short = [F.get("less", F.lit(i)) for i in range(KEYS - 3)]
+    keys = [F.col("r0"), F.col("r1"), F.col("r2"), *(F.coalesce(b, s) for b, s in zip(rest, short))]
+    keys[3 + BLOCKS : 6 + BLOCKS] = [F.coalesce(k, F.col(f"r{i}")) for i, k in enumerate(keys[3 + BLOCKS : 6 + BLOCKS], 3)]
     return seen.select("doc_id", "line_no", "k1", "k2", "n", "words", F.when(F.col("n") <= LONG, F.col("norm")).alias("norm"), "codes", fingerprint().alias("sim"), *(k.alias(f"c{i}") for i, k in enumerate(keys)))
 
 
