@@ -3,8 +3,8 @@
 A byte-level BPE with the usual splitting pattern never lets a token cross from a non-space
 to a following white space, and a word-end BPE drops white space. So a text whose white space is
 single blanks or line feeds between words can be encoded word by word, and each distinct word only
-once per worker. Both patterns also part a letter from a stop that ends a word, so the ids of such a word
-are put together from those of the word alone and of the stop. All other texts, and tokenizers of other kinds, are encoded whole.
+once per worker. The second one's pattern also parts a letter from a stop that ends a word, so the ids of such
+a word are put together from those of the word alone and of the stop. All other texts, and tokenizers of other kinds, are encoded whole.
 """
 
 from __future__ import annotations
@@ -21,16 +21,25 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: New words that are encoded as one text.
 RUN_WORDS = 4096
-#: Distinct words that a worker remembers; beyond it the cache starts afresh.
+#: Distinct words that a worker remembers unless told otherwise; beyond it the cache starts afresh.
 CACHE_WORDS = 1_000_000
 _encoders: dict[str, "Encoder"] = {}
-_separators = re.compile("[\x00\x02\x1c-\x1f]")
+_separators = re.compile("[\x00\x1c-\x1f]")
 _stop = re.compile("(?<=[A-Za-z])([.,;:!?])(?=\x1f|$)")
 
 
-def encoder(path: str) -> "Encoder":
+def _single(text: str) -> bool:
+    """Whether all white space of a text is single blanks or line feeds between words."""
+    if text.isascii():
+        return not (text[0] in " \n" or text[-1] in " \n" or any(w in text for w in ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")))
+    return " ".join(text.split()) == text.replace("\n", " ")
+
+
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> "Encoder":
+    """The worker's encoder of a tokenizer; it keeps at most ``cache_words`` words, some 200 bytes each."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].cache_words = cache_words
     return _encoders[path]
 
 
@@ -42,6 +51,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cache: dict[str, bytes] = {}
+        self.cache_words = CACHE_WORDS
         self.edges: np.ndarray | None = None
         spec = json.loads(self.tokenizer.to_str())
         norm = spec["normalizer"] or {}
@@ -59,27 +69,29 @@ class Encoder:
             return None
         if self.dropped:
             return text.split()
-        words = text.split()
-        if " ".join(words) != text.replace("\n", " "):
-            return None
-        if not words:
+        if not text:
             return []
+        if not _single(text):
+            return None
         keys = text.replace("\n", " \n").split(" ")
         keys[0] = "\x00" + keys[0]
         return keys
 
     def _plain(self, key: str) -> str:
-        return key if self.dropped or key[0] == "\n" else key[1:] if key[0] in "\x00\x02" else " " + key
+        return key if self.dropped or key[0] == "\n" else key[1:] if key[0] == "\x00" else " " + key
 
     def _forms(self, keys: list[str]) -> list[str]:
         """Each key as keys whose ids, joined, are its own, between \x1e; all at once, as one text."""
         text = "\x1f".join(keys)
-        if self.dropped and self.lowers and text.isascii():
+        if self.lowers and text.isascii():
             text = text.lower()
-        return _stop.sub("\x1e\\1" if self.dropped else "\x1e\x02\\1", text).split("\x1f")
+        return _stop.sub("\x1e\\1", text).split("\x1f")
 
     def learn(self, need: list[str]) -> None:
         """Puts the ids of the words into the cache."""
+        if self.joined:
+            self._learn(need)
+            return
         plain = [k for k in need if k.isascii()]
         other = [k for k in need if not k.isascii()]
         forms = [f for part in (plain, other) if part for f in self._forms(part)]
@@ -98,7 +110,7 @@ class Encoder:
         ids = lambda e: array("I", e.ids).tobytes()
         tokens = lambda: (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
         if self.joined:
-            many = [k for k in need if k[0] not in "\x00\x02\n"]
+            many = [k for k in need if k[0] not in "\x00\n"]
             if self.edges is None:
                 self.edges = np.array([t.startswith("\u0120") for t in tokens()])
         else:
@@ -138,7 +150,7 @@ class Encoder:
         keys = [self._words(t) for t in texts]
         every = set().union(*(k for k in keys if k))
         need = list(every.difference(self.cache))
-        if len(self.cache) + len(need) > CACHE_WORDS:
+        if len(self.cache) + len(need) > self.cache_words:
             self.cache.clear()
             need = list(every)
         if need:

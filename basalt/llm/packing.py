@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from basalt.llm._lp import patterns
 from basalt.llm._scratch import Scratch
-from basalt.llm._tokens import encoder, groups
+from basalt.llm._tokens import CACHE_WORDS, encoder, groups
 from basalt.llm._totals import before
 
 
@@ -63,11 +63,11 @@ class Plan:
         return sequence, slot
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str, text_col: str) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str, text_col: str, cache_words: int) -> DataFrame:
     """Each document's pieces; ``rank`` counts the pieces of equal length in this partition."""
 
     def run(batches):
-        enc, part, seen = encoder(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        enc, part, seen = encoder(tokenizer_path, cache_words), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for s in range(0, batch.num_rows, 2048):
@@ -87,15 +87,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_
     return rows.mapInArrow(run, "part long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, rank long")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096, width: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096, width: int = 8, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are one piece of the end id alone. Null and repeated ids are packed like
     any other row. An empty table gives no piece. Other columns are ignored. ``capacity`` must be a
-    multiple of ``width``, the width of the histogram's bins.
+    multiple of ``width``, the width of the histogram's bins. ``cache_words`` bounds a worker's memory of words
+    and changes nothing but the time.
     """
     work = Scratch(docs.sparkSession, "packing")
-    cut = work.table(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col), "pieces")
+    cut = work.table(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col, cache_words), "pieces")
     counted = work.table(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     plan = Plan({r.length: r.n for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity, width)
     # A row for each length of each part: it grows with the input, so it is never broadcast.
