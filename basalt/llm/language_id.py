@@ -99,10 +99,16 @@ def _per_text(column, fn):
 
 def _fit(docs: DataFrame, languages: tuple[str, ...], sample: int) -> np.ndarray:
     """log P(trigram | class), classes in the order of ``languages``, then ``und``."""
-    usable = docs.where(F.col("declared").isin(*languages) & F.col("id").isNotNull()).select("id", "declared").distinct()
-    rank = F.row_number().over(Window.partitionBy("declared").orderBy(F.xxhash64("id"), "id"))
-    chosen = usable.withColumn("r", rank).where(F.col("r") <= sample).select("id", "declared")
-    texts = docs.join(chosen, ["id", "declared"], "left_semi").select("text", "declared")
+    usable = docs.where(F.col("declared").isin(*languages) & F.col("id").isNotNull()).select("id", "declared")
+    # A bound on the hash leaves some twice ``sample`` rows a language, whatever their number, before any are sorted.
+    about = {r.declared: r.n for r in usable.groupBy("declared").agg(F.approx_count_distinct("id").alias("n")).collect()}
+    place = F.xxhash64("id")
+    bound = lambda n: -(1 << 63) + min((1 << 64) - 1, (2 * sample + 1000) * (1 << 64) // max(n, 1))
+    near = F.coalesce(*(F.when(F.col("declared") == d, place <= F.lit(bound(n))) for d, n in about.items()), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy("declared").orderBy(place, "id"))
+    chosen = usable.where(near).distinct().withColumn("r", rank).where(F.col("r") <= sample).select("id", "declared")
+    # At most ``sample`` ids a language, so they may be sent to every task; the texts stay where they are.
+    texts = docs.join(F.broadcast(chosen), ["id", "declared"], "left_semi").select("text", "declared")
 
     def count(batches):
         total = np.zeros((len(languages), BUCKETS), np.int64)
