@@ -47,9 +47,15 @@ class Scratch:
             df.write.option("parquet.enable.dictionary", "false").option("compression", "zstd").mode("overwrite").parquet(self.path(label))
         finally:
             conf.set(CLEANUP, old)
+        # Results may read these tables until the application ends; then they go.
+        path, files = self._files(self.root)
+        files.deleteOnExit(path)
         return self.spark.read.schema(df.schema).parquet(self.path(label))
 
+    def _files(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self, label: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(label))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._files(self.path(label))
+        files.delete(path, True)

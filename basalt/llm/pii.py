@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basalt.llm._names import column, free, replaced
+
 ROUNDS = 8
 #: Characters that one permutation of a text covers: two halves of 64, one byte of the key stream for each.
 BLOCK = 128
@@ -73,8 +75,9 @@ def permute_long(value: Column, key: str, kind: str, letters: Column | None = No
     return F.when(F.length(value) <= BLOCK, first).otherwise(F.concat(first, F.array_join(F.transform(more, block), "")))
 
 
-def permute_number(value: Column, low: int, high: int, count: int, key: str, kind: str) -> Column:
-    """A keyed permutation of 0 .. count - 1 (count <= low * high), walked back into the range."""
+def permute_number(value: Column, low: int, high: int, count: int, key: str, kind: str, inside=None, turns: int = 40) -> Column:
+    """A keyed permutation of 0 .. count - 1 (count <= low * high), walked on until it is back in the range and,
+    if given, ``inside(number)`` holds, as it does for ``value``; so it permutes those numbers among themselves."""
 
     def once(x: Column) -> Column:
         start = F.struct(F.floor(x / high).cast("long").alias("a"), F.pmod(x, F.lit(high)).cast("long").alias("b"), F.lit(low).cast("long").alias("m"), F.lit(high).cast("long").alias("n"))
@@ -87,7 +90,8 @@ def permute_number(value: Column, low: int, high: int, count: int, key: str, kin
         return F.transform(F.array(done), lambda s: s["a"] * high + s["b"])[0]
 
     # Outside the range at most 1 - count / (low * high) of the time; 40 steps leave nothing there.
-    return F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.lit(-1).cast("long"), lambda acc, r: F.when((r == 1), once(value)).when(acc >= count, once(acc)).otherwise(acc))
+    outside = lambda x: (x >= count) if inside is None else (x >= count) | ~inside(x)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(turns)), F.lit(-1).cast("long"), lambda acc, r: F.when((r == 1), once(value)).when(outside(acc), once(acc)).otherwise(acc))
 
 
 def _luhn_sum(digits: Column, odd: int) -> Column:
@@ -138,10 +142,23 @@ def _date(m: Column, key: str) -> Column:
     first = F.when(part(0) <= 12, F.lit("m")).otherwise(F.lit("d"))
     month, day = F.when(first == "m", part(0)).otherwise(part(1)), F.when(first == "m", part(1)).otherwise(part(0))
     there = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(F.concat_ws("-", part(2).cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd"))
-    at = F.date_diff(there, F.to_date(F.lit(FIRST_DAY))).cast("long")
-    new = F.date_add(F.to_date(F.lit(FIRST_DAY)), permute_number(at, 271, 270, DAYS, key, "date").cast("int"))
-    shaped = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(first == "m", F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd/MM/yyyy"))
-    return F.when(at.between(0, DAYS - 1), shaped)
+    start = F.to_date(F.lit(FIRST_DAY))
+    at = F.date_diff(there, start).cast("long")
+    widths = [F.length(F.split(m, "/")[i]) for i in (0, 1)]
+    # A part of one digit stays one digit, and a date that is read day first still can be read in no other way.
+    wide = {"month": F.when(first == "m", widths[0]).otherwise(widths[1]), "day": F.when(first == "m", widths[1]).otherwise(widths[0])}
+
+    def inside(n: Column) -> Column:
+        day = F.date_add(start, n.cast("int"))
+        return ((wide["month"] == 2) | (F.month(day) <= 9)) & ((wide["day"] == 2) | (F.day(day) <= 9)) & ((first == "m") | (F.day(day) > 12))
+
+    whole = (first == "m") & (F.least(*widths) == 2)
+    number = F.when(iso | whole, permute_number(at, 271, 270, DAYS, key, "date")).otherwise(permute_number(at, 271, 270, DAYS, key, "date", inside, 600))
+    new = F.date_add(start, number.cast("int"))
+    shown = lambda part, n: F.lpad(part(new).cast("string"), n, "0") if isinstance(n, int) else F.when(n == 1, part(new).cast("string")).otherwise(F.lpad(part(new).cast("string"), 2, "0"))
+    month, day = shown(F.month, wide["month"]), shown(F.day, wide["day"])
+    slashed = F.concat_ws("/", F.when(first == "m", month).otherwise(day), F.when(first == "m", day).otherwise(month), shown(F.year, 4))
+    return F.when(at.between(0, DAYS - 1), F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(slashed))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -188,14 +205,17 @@ def _secret(m: Column, key: str) -> Column:
 KINDS = {"secret": _secret, "email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card, "iban": _iban}
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``docs``, all rows and columns, with the text's personal data replaced and ``found`` added:
-    an array of (kind, count) of what was replaced, in alphabetical order.
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found: str = "found") -> DataFrame:
+    """``docs``, all rows and columns, with the text's personal data replaced and, last, the column ``found``:
+    an array of (kind, count) of what was replaced, in alphabetical order. A column of that name gives way.
 
     A null text stays null with an empty ``found``; so does one without candidates. Candidates that
-    fail validation stay as they are. Rows are independent, so repeated rows are treated alike.
+    fail validation stay as they are. Rows are independent, so repeated rows are treated alike and there
+    are no ties. An empty table gives an empty result.
     """
-    text = F.col(text_col).cast("string")
+    text = column(text_col).cast("string")
+    done_col, tally_col = free(docs, "_done", "_tally")
+    done = F.col(done_col)
 
     def treat(m: Column) -> Column:
         kind = F.coalesce(*(F.when(m.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS.items()))
@@ -203,9 +223,11 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
         return F.struct(F.when(new.isNotNull(), kind).alias("kind"), F.coalesce(new, m).alias("new"))
 
     some = text.rlike("[0-9@=:]|AKIA") & text.rlike(FINDER)
-    marked = docs.withColumn("_done", F.when(some, F.transform(F.regexp_extract_all(text, F.lit(FINDER), F.lit(0)), treat)))
+    marked = docs.withColumn(done_col, F.when(some, F.transform(F.regexp_extract_all(text, F.lit(FINDER), F.lit(0)), treat)))
     between = F.split(text, FINDER, -1)
-    rebuilt = F.array_join(F.flatten(F.zip_with(between, F.col("_done"), lambda p, d: F.array(F.coalesce(p, F.lit("")), F.coalesce(d["new"], F.lit(""))))), "")
-    kinds = F.filter(F.transform(F.coalesce(F.col("_done"), F.array().cast("array<struct<kind:string,new:string>>")), lambda d: d["kind"]), lambda k: k.isNotNull())
+    rebuilt = F.array_join(F.flatten(F.zip_with(between, done, lambda p, d: F.array(F.coalesce(p, F.lit("")), F.coalesce(d["new"], F.lit(""))))), "")
+    kinds = F.filter(F.transform(F.coalesce(done, F.array().cast("array<struct<kind:string,new:string>>")), lambda d: d["kind"]), lambda k: k.isNotNull())
     tally = F.transform(F.array_sort(F.array_distinct(kinds)), lambda k: F.struct(k.alias("kind"), F.size(F.filter(kinds, lambda x: x == k)).cast("long").alias("count")))
-    return marked.withColumn(text_col, F.when(F.col("_done").isNotNull(), rebuilt).otherwise(F.col(text_col))).withColumn("found", tally).drop("_done")
+    new = F.when(done.isNotNull(), rebuilt).otherwise(column(text_col))
+    out = marked.select(*(new.alias(c) if c == text_col else column(c) for c in docs.columns), tally.alias(tally_col))
+    return replaced(out, **{found: tally_col})
