@@ -40,8 +40,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of what is left, in sequences of 4096 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2)
+    """The pieces of what is left, in sequences of 4096 tokens. Workers share memory with other stages'."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2, cache_words=250_000)
 
 
 STAGES = [("language ID", language), ("line dedup", lines), ("near-dedup", near_duplicates), ("decontamination", benchmark), ("packing", pack)]
