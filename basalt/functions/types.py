@@ -41,14 +41,26 @@ TYPES = {
 
 # The names that DDL accepts for each type.
 NAMES = {
-    "I8": "TINYINT INT1 INT8S", "I16": "SMALLINT INT2 INT16", "I32": "INT INTEGER INT4 INT32", "I64": "BIGINT INT8 INT64",
-    "U8": "UTINYINT UINT1", "U16": "USMALLINT UINT16 UINT2", "U32": "UINT UINT32 UINT4", "U64": "UBIGINT UINT64 UINT8",
-    "F32": "REAL FLOAT4", "F64": "DOUBLE FLOAT8 FLOAT", "BOOL": "BOOL BOOLEAN", "CHAR": "CHAR CHARACTER",
-    "STRING": "TEXT VARCHAR STRING", "DATETIME": "DATETIME TIMESTAMP TIMESTAMPTZ",
-}
-BY_NAME = {n: TYPES[t] for t, names in NAMES.items() for n in names.split()}
+    "I8": ["TINYINT", "INT1", "INT8S"],
+    "I16": ["SMALLINT", "INT2", "INT16"],
+    "I32": ["INT", "INTEGER", "INT4", "INT32"],
+    "I64": ["BIGINT", "INT8", "INT64"],
+    "U8": ["UTINYINT", "UINT1"],
+    "U16": ["USMALLINT", "UINT16", "UINT2"],
+    "U32": ["UINT", "UINT32", "UINT4"],
+    "U64": ["UBIGINT", "UINT64", "UINT8"],
+    "F32": ["REAL", "FLOAT4"],
+    "F64": ["DOUBLE", "FLOAT8", "FLOAT"],
+    "BOOL": ["BOOL", "BOOLEAN"],
+    "CHAR": ["CHAR", "CHARACTER"],
+    "STRING": ["TEXT", "VARCHAR", "STRING"],
+    "DATETIME": ["DATETIME", "TIMESTAMP", "TIMESTAMPTZ"],
+}
+BY_NAME = {n: TYPES[t] for t, names in NAMES.items() for n in names}
 PHRASES = {("DOUBLE", "PRECISION"): "F64", ("CHARACTER", "VARYING"): "STRING", ("TIMESTAMP", "WITH", "TIME", "ZONE"): "DATETIME"}
-TRUE, FALSE = "true t yes y on 1".split(), "false f no n off 0".split()
+# The words of truth values.
+TRUE = ["true", "t", "yes", "y", "on", "1"]
+FALSE = ["false", "f", "no", "n", "off", "0"]
 
 
 def type_of(words: list[str]) -> SqlType:

@@ -36,6 +36,37 @@ def intersect(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     return merge(both.distinct(), by)
 
 
+def intersect_many(lists: list[DataFrame], by: list[str]) -> DataFrame:
+    """Rows in every one of the lists, however many, in one pass; of no list, nothing is defined.
+
+    A row is in all of n merged lists where n ranges hold it. Ranges are cut at multiples of a block, so
+    starts and ends are counted by key and block, and no key, however many ranges it has, is one task.
+    """
+    if len(lists) == 1:
+        return merge(lists[0], by)
+    parts = [_blocked(merge(x, by), by, "1") for x in lists]
+    edge, whole = 1 << 16, parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    low, high = F.col("_block") * edge, (F.col("_block") + 1) * edge
+    cut = whole.select(*by, "_block", F.greatest("start1", low).alias("s"), F.least("end1", high).alias("e"))
+    marks = cut.select(*by, "_block", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("e").alias("at"), F.lit(-1).alias("d")))).alias("m"))
+    steps = marks.groupBy(*by, "_block", F.col("m.at").alias("at")).agg(F.sum("m.d").alias("d"))
+    w = Window.partitionBy(*by, "_block").orderBy("at")
+    depth = steps.withColumn("depth", F.sum("d").over(w)).withColumn("next", F.lead("at").over(w))
+    held = depth.where((F.col("depth") == len(lists)) & F.col("next").isNotNull())
+    return merge(held.select(*by, F.col("at").alias("start"), (F.col("next") - F.col("at")).alias("cnt")), by)
+
+
+def cheapest_gap(ranges: DataFrame, by: list[str], gaps: list[int], per_range: int = 24, per_row: int = 64) -> int:
+    """The gap of ``gaps`` whose coarsened ranges cost least: ``per_range`` each and ``per_row`` a row that no
+    range had; ties to the smaller gap. One pass over the merged ranges, whatever the number of gaps."""
+    w = Window.partitionBy(*by).orderBy("start")
+    holes = merge(ranges, by).withColumn("_hole", F.col("start") - F.lag(_end()).over(w))
+    row = holes.agg(F.count("*").alias("all"), *(e for i, g in enumerate(gaps) for e in (F.count_if(F.col("_hole") <= g).alias(f"n{i}"), F.coalesce(F.sum(F.when(F.col("_hole") <= g, F.col("_hole"))), F.lit(0)).alias(f"r{i}")))).first()
+    return min(gaps, key=lambda g: ((row["all"] - row[f"n{gaps.index(g)}"]) * per_range + row[f"r{gaps.index(g)}"] * per_row, g))
+
+
 def _blocked(ranges: DataFrame, by: list[str], tag: str, block: int = 1 << 16) -> DataFrame:
     r = ranges.select(*by, F.col("start").alias(f"start{tag}"), _end().alias(f"end{tag}"))
     return r.withColumn("_block", F.explode(F.sequence(F.floor(F.col(f"start{tag}") / block), F.floor((F.col(f"end{tag}") - 1) / block))))
@@ -64,3 +95,13 @@ def runs(rows: DataFrame, by: list[str], position: str) -> DataFrame:
     """Ranges of consecutive positions among ``rows`` (distinct positions): gaps and islands."""
     w = Window.partitionBy(*by).orderBy(position)
     return rows.withColumn("_island", F.col(position) - F.row_number().over(w)).groupBy(*by, "_island").agg(F.min(position).alias("start"), F.count("*").alias("cnt")).drop("_island")
+
+
+def runs_across(rows: DataFrame, position: str, block: int = 1 << 16) -> DataFrame:
+    """As ``runs`` over one unbroken line of positions, however long: islands of each block of positions, then
+    those that touch at a bound between blocks put together. Only a block's first and last islands meet."""
+    cut = runs(rows.withColumn("_block", F.floor(F.col(position) / block)), ["_block"], position).withColumn("_last", _end())
+    # An island that fills its whole block links the ones at both its ends, so chains may be long; they are few rows.
+    at_start, at_end = F.col("start") == F.col("_block") * block, F.col("_last") == (F.col("_block") + 1) * block
+    inner, edges = cut.where(~at_start & ~at_end).select("start", "cnt"), cut.where(at_start | at_end)
+    return inner.unionByName(merge(edges.select("start", "cnt"), []))

@@ -6,9 +6,10 @@ judge (arithmetic, !=, columns without summary) keeps every file. So the answer
 
 from __future__ import annotations
 
-from decimal import Decimal
+import uuid
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,29 +21,61 @@ from basalt.sources.catalog import Catalog, Manifest
 
 #: Tables of fewer files are scanned whole.
 LEAST_FILES = 2
+#: Characters of a run whose hash is kept, and bits of the map of them (one bitmap of Spark's own size).
+GRAM, GRAM_BITS = 3, 32_768
 
 
 def build(catalog: Catalog, m: Manifest) -> Manifest:
-    """Summarises every file of the snapshot in one aggregation, written beside it."""
+    """Summarises the files that have no summary yet in one aggregation, written with the others' beside the snapshot."""
     if not m.files:
         return m
-    df = catalog.spark.read.schema(m.stored_schema()).parquet(*m.files)
     columns = [f.stored for f in m.live if f.type != "BOOL"]
-    table = df.groupBy(F.col("_metadata.file_name").alias("file")).agg(*summaries(df, "file", columns))
-    path = f"{catalog._folder(m.table)}/_stats/v{m.version + 1:010d}"
-    table.write.mode("overwrite").parquet(path)
+    old, names = catalog.summaries(m), {_name(f): f for f in m.files}
+    if old is not None and all(f"{c}__lo" in old.columns for c in columns):
+        known = {r["file"] for r in old.select("file").collect()}
+    else:
+        old, known = None, set()
+    new = [f for n, f in names.items() if n not in known]
+    if not new:
+        return m
+    df = catalog.spark.read.schema(m.stored_schema()).parquet(*new)
+    file = F.col("_metadata.file_name").alias("file")
+    table = df.groupBy(file).agg(*summaries(df, "file", columns))
+    for c in columns:
+        if isinstance(df.schema[c].dataType, T.StringType):
+            table = table.join(grams(df.select(file, F.col(f"`{c}`").alias("text")), f"{c}__grams"), "file", "left")
+    if old is not None:
+        table = old.where(F.col("file").isin(list(names))).unionByName(table, allowMissingColumns=True)
+    path = f"{catalog._folder(m.table)}/_stats/v{m.version + 1:010d}-{uuid.uuid4().hex}"
+    table.write.parquet(path)
     return catalog.commit(m, stats=path)
 
 
+def _name(path: str) -> str:
+    return path.rsplit("/", 1)[1]
+
+
+def grams(texts: DataFrame, out: str) -> DataFrame:
+    """(file, out): a bitmap of the hashes of all runs of ``GRAM`` characters in a file's texts."""
+    spots = F.when(F.length("text") >= GRAM, F.sequence(F.lit(1), F.length("text") - (GRAM - 1)))
+    cut = texts.select("file", F.explode(F.array_distinct(F.transform(spots, lambda i: _place(F.substring(F.col("text"), i, F.lit(GRAM)))))).alias("place"))
+    return cut.groupBy("file").agg(F.bitmap_construct_agg("place").alias(out))
+
+
+def _place(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(GRAM_BITS))
+
+
 def candidates(catalog: Catalog, m: Manifest, where: ast.Expr | None) -> list[str]:
-    """The files that may hold a matching row; all of them where there are no summaries of this snapshot."""
+    """The files that may hold a matching row: those whose summary does not rule it out, and those without one."""
     if where is None or m.stats is None or len(m.files) < LEAST_FILES:
         return m.files
-    may = _may({f.name: f for f in m.live}, where)
+    table = catalog.summaries(m)
+    may = _may({f.name: f for f in m.live if f"{f.stored}__lo" in table.columns}, where)
     if may is None:
         return m.files
-    kept = {r["file"] for r in catalog.spark.read.parquet(m.stats).where(F.coalesce(may, F.lit(True))).select("file").collect()}
-    return [f for f in m.files if f.rsplit("/", 1)[1] in kept]
+    out = {r["file"] for r in table.where(~F.coalesce(may, F.lit(True))).select("file").collect()}
+    return [f for f in m.files if _name(f) not in out]
 
 
 def _may(fields: dict, e: ast.Expr) -> Column | None:
@@ -71,19 +104,30 @@ def _may(fields: dict, e: ast.Expr) -> Column | None:
             return None
         enough = some & (F.col(f"`{f.stored}__long`") >= len(v))
         if op == "STARTSWITH":
-            return enough & (lo < v + "\U0010ffff") & (hi >= v) & F.array_contains(F.col(f"`{f.stored}__first`"), F.lower(F.lit(v[0])))
+            return enough & (F.left(lo, F.lit(len(v))) <= v) & (hi >= v) & F.array_contains(F.col(f"`{f.stored}__first`"), F.lower(F.lit(v[0])))
         if op == "ENDSWITH":
             return enough & F.array_contains(F.col(f"`{f.stored}__last`"), F.lower(F.lit(v[-1])))
-        return enough if op == "CONTAINS" else None
+        if op != "CONTAINS":
+            return None
+        if len(v) < GRAM:
+            return enough
+        held = F.col(f"`{f.stored}__grams`")
+        places = F.array_distinct(F.array(*(_place(F.lit(v[i : i + GRAM])) for i in range(len(v) - GRAM + 1))))
+        # The byte of a place, as two hexadecimal digits.
+        byte = lambda at: F.conv(F.hex(F.substring(held, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+        return enough & F.coalesce(F.forall(places, lambda at: F.pmod(F.floor(byte(at) / F.pow(F.lit(2), F.pmod(at, F.lit(8)))), F.lit(2)) == 1), F.lit(True))
     if isinstance(v, Decimal) and not isinstance(v, bool) and not isinstance(kind, T.StringType):
         # Spark keeps NaN as the largest value, so ``hi`` stays an upper bound; a float literal rounds as in the predicate.
         if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
             x = F.lit(float(v)).cast(kind)
         else:
-            x = F.lit(v).cast("decimal(38,6)") if abs(v) < 10**31 else None
-            lo, hi = lo.cast("decimal(38,6)"), hi.cast("decimal(38,6)")
-            if x is None or f.type in ("I128", "U128"):
+            whole = v.to_integral_value(ROUND_CEILING if op in ("<", ">=") else ROUND_FLOOR)
+            if op == "=" and whole != v:
+                return F.lit(False)
+            if abs(whole) >= 10**38:
                 return None
+            x = F.lit(whole).cast("decimal(38,0)")
+            lo, hi = lo.cast("decimal(38,0)"), hi.cast("decimal(38,0)")
         bounds = {"=": (lo <= x) & (hi >= x), "<": lo < x, "<=": lo <= x, ">": hi > x, ">=": hi >= x}
         return some & bounds[op] if op in bounds else None
     return None

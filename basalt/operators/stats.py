@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,10 +84,52 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))).alias("hash"))
 
 
+def threshold_rules(df: DataFrame, column: str, position: str, rows: int = 4096, slots: int = 192, near: int = 5, keep: int = 32) -> DataFrame:
+    """(op, threshold, runs, rows, score, rank): the cheapest rules column < t and column > t.
+
+    They are chosen on a sample of at most ``rows`` rows (of smallest hash of the position; smaller tables
+    whole), in order of position, as ``threshold_scores`` counts them. Each of ``slots`` quantiles of the
+    sample's distinct values and its neighbours up to ``near`` steps of a 96th away offers its cheapest rule, a
+    rule that holds for COMMON of the rows and more counting double; what is missing to ``slots`` comes from
+    all of them. Rules for no row, or for more than RARE of the rows (16 at least), go; of equal operator and
+    number of rows the cheapest stays; ``keep`` are returned. Ties go to the operator, then the threshold.
+    """
+    value = F.col(column).cast("double")
+    taken = sample(df.where(value.isNotNull() & ~F.isnan(value)).select(F.col(position).alias("at"), value.alias("v")), "at", rows)
+    x = np.array([r.v for r in sorted(taken.collect(), key=lambda r: r["at"])], float)  # at most ``rows``
+    schema = "op string, threshold double, runs long, rows long, score long, rank int"
+    if not len(x):
+        return df.sparkSession.createDataFrame([], schema)
+    distinct = np.unique(x)
+    step = max(1, len(distinct) // 96)
+    places = [[min(max(round(k / (slots + 1) * len(distinct)) + d * step, 0), len(distinct) - 1) for d in range(-near, near + 1)] for k in range(1, slots + 1)]
+    rules = {}
+    for i in sorted({i for p in places for i in p}):
+        for op, hit in (("<", x < distinct[i]), (">", x > distinct[i])):
+            runs, n = int(hit[0]) + int((hit[1:] & ~hit[:-1]).sum()), int(hit.sum())
+            rules[op, i] = (runs, n, runs * RUN_COST + n * ROW_COST)
+    cost = lambda r: (rules[r][2] * (2 if rules[r][1] >= COMMON * len(x) else 1), r)
+    allowed = max(RARE * len(x), 16)
+    offered = list(dict.fromkeys(min(((op, i) for i in p for op in "<>" if rules[op, i][1]), key=cost, default=None) for p in places))
+    order = [r for r in offered if r] + sorted((r for r in rules if r not in set(offered)), key=cost)[: max(0, slots - len(offered))]
+    best = {}
+    for r in sorted(order, key=cost):
+        if 0 < rules[r][1] <= allowed:
+            best.setdefault((r[0], rules[r][1]), r)
+    chosen = sorted(best.values(), key=cost)[:keep]
+    return df.sparkSession.createDataFrame([(op, float(distinct[i]), *rules[op, i], n) for n, (op, i) in enumerate(chosen, 1)], schema)
+
+
+# Shares of rows from which a rule counts double, and beyond which it is dropped.
+COMMON, RARE = 0.35, 0.05
+# What a rule costs for each run of rows and for each row.
+RUN_COST, ROW_COST = 24, 64
+
+
 def threshold_scores(df: DataFrame, column: str, position: str, by: list[str], thresholds: list[float]) -> DataFrame:
     """(op, threshold, runs, rows, score) of the rules column < t and column > t.
 
-    A rule costs 24 for each run of consecutive matching rows and 64 for each row.
+    A rule costs RUN_COST for each run of consecutive matching rows and ROW_COST for each row.
     """
     w = Window.partitionBy(*by).orderBy(position)
     rules = F.array(*(F.struct(F.lit(o).alias("op"), F.lit(float(t)).alias("threshold")) for t in thresholds for o in ("<", ">")))
@@ -94,4 +137,4 @@ def threshold_scores(df: DataFrame, column: str, position: str, by: list[str], t
     lagged = df.withColumn("_prev", F.lag(column).over(w)).select(F.col(column).alias("_now"), "_prev", F.explode(rules).alias("rule"))
     starts = hit("_now") & ~F.coalesce(hit("_prev"), F.lit(False))
     out = lagged.groupBy("rule.op", "rule.threshold").agg(F.sum(starts.cast("long")).alias("runs"), F.sum(hit("_now").cast("long")).alias("rows"))
-    return out.withColumn("score", F.col("runs") * 24 + F.col("rows") * 64)
+    return out.withColumn("score", F.col("runs") * RUN_COST + F.col("rows") * ROW_COST)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basalt.errors import BAD_TYPE, NO_COLUMN, SqlError
+from basalt.functions.types import TYPES, coerce
 from basalt.plans import ast
 
 FLIP = {"<": ">", ">": "<", "<=": ">=", ">=": "<=", "=": "=", "!=": "!="}
@@ -29,10 +30,11 @@ class Typed:
     type: T.DataType | None = None
     literal: object = None
     plain: bool = False  # a bare column
+    epoch: bool = False  # seconds since 1970 of a DATETIME column
 
 
 def predicate(expr: ast.Expr, schema: T.StructType) -> Column:
-    out = _compile(expr, {f.name: f.dataType for f in schema.fields})
+    out = _compile(expr, {f.name: f for f in schema.fields})
     if out.kind != "bool":
         raise SqlError(BAD_TYPE, "WHERE needs a condition")
     return out.column
@@ -50,11 +52,12 @@ def _kind(t: T.DataType) -> str:
     raise SqlError(BAD_TYPE, f"cannot compare values of type {t.simpleString()}")
 
 
-def _compile(e: ast.Expr, types: dict[str, T.DataType]) -> Typed:
+def _compile(e: ast.Expr, types: dict[str, T.StructField]) -> Typed:
     if isinstance(e, ast.Name):
         if e.name not in types:
             raise SqlError(NO_COLUMN, f"no column {e.name}")
-        return Typed(F.col(f"`{e.name}`"), _kind(types[e.name]), types[e.name], plain=True)
+        f = types[e.name]
+        return Typed(F.col(f"`{e.name}`"), _kind(f.dataType), f.dataType, plain=True, epoch=(f.metadata or {}).get("sql_type") == "DATETIME")
     if isinstance(e, ast.Literal):
         v = e.value
         if isinstance(v, bool):
@@ -124,6 +127,9 @@ def _arithmetic(op: str, a: Typed, b: Typed) -> Typed:
 def _compare(op: str, a: Typed, b: Typed) -> Column:
     if a.literal is not None and b.literal is None:
         return _compare(FLIP[op], b, a)
+    if a.epoch and isinstance(b.literal, str):
+        # An ISO timestamp against a DATETIME column, read as INSERT reads it.
+        b = _compile(ast.Literal(Decimal(coerce(b.literal, TYPES["DATETIME"]))), {})
     if a.kind in _NUMERIC and b.kind in _NUMERIC:
         return _compare_numbers(op, a, b)
     if a.kind == "time" and b.kind in ("string", "time"):

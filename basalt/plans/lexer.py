@@ -9,7 +9,7 @@ from basalt.errors import SYNTAX, SqlError
 
 
 class Token(NamedTuple):
-    kind: str  # name, quoted, number, string, op, end
+    kind: str  # name, quoted, number, string, arg, op, end
     text: str
     at: int
 
@@ -18,7 +18,7 @@ class Token(NamedTuple):
 
 
 _shape = re.compile(
-    r"""(?P<space>\s+|--[^\n]*)|(?P<number>\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|\.\d+)|(?P<name>[A-Za-z_][A-Za-z0-9_]*)
+    r"""(?P<space>\s+|--[^\n]*)|(?P<number>\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|\.\d+)|(?P<name>[A-Za-z_][A-Za-z0-9_]*)|\$(?P<arg>[1-9]\d*)
     |'(?P<string>(?:[^']|'')*)'|"(?P<quoted>(?:[^"]|"")*)"|(?P<op><=|>=|<>|!=|==|::|[-+*/=<>(),;.])""",
     re.X,
 )

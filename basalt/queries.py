@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basalt.functions import maths
 from basalt.operators import intervals, stats
 from basalt.session import Engine
 
@@ -34,6 +35,7 @@ _same("filter_negative", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acct
 _same("filter_contains", "SELECT p_partkey, p_name FROM part WHERE p_name CONTAINS 'a'", "SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'a')")
 _same("filter_startswith", "SELECT p_partkey, p_type FROM part WHERE p_type STARTSWITH 'S'", "SELECT p_partkey, p_type FROM part WHERE starts_with(p_type, 'S')")
 _same("filter_endswith", "SELECT p_partkey, p_name FROM part WHERE p_name ENDSWITH '1'", "SELECT p_partkey, p_name FROM part WHERE ends_with(p_name, '1')")
+_same("filter_endswith_found", "SELECT s_suppkey, s_name FROM supplier WHERE s_name ENDSWITH '7'", "SELECT s_suppkey, s_name FROM supplier WHERE ends_with(s_name, '7')")
 _same("filter_contains_empty", "SELECT p_partkey FROM part WHERE p_name CONTAINS ''", "SELECT p_partkey FROM part WHERE contains(p_name, '') AND length('') > 0")
 _same("filter_startswith_empty", "SELECT p_partkey FROM part WHERE p_name STARTSWITH ''", "SELECT p_partkey FROM part WHERE starts_with(p_name, '')")
 _same("precedence_and_or", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 45 OR l_returnflag = 'R' AND l_discount = 0.1")
@@ -54,6 +56,7 @@ _same("arith_float_zero", "SELECT c_custkey FROM customer WHERE c_acctbal / (c_a
 _same("arith_nested", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE ((l_linenumber + 5) * 2 - 10) / 2 = 3", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE ((l_linenumber + 5) * 2 - 10) // 2 = 3")
 _same("arith_columns", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_extendedprice * (1 - l_discount) >= 60000")
 _same("filter_time", "SELECT o_orderkey FROM orders WHERE o_orderdate < '1993-01-01'", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1993-01-01'")
+_same("filter_time_found", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= '1995-03-01' AND o_orderdate < '1995-06-15 00:00:00'", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1995-06-15 00:00:00'")
 _same("type_bounds", "SELECT p_partkey FROM part WHERE p_size < 3000000000 AND p_partkey > -9999999999999999999")
 _same("order_by_num", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 50")
 _same("order_by_str", "SELECT s_name, s_suppkey FROM supplier ORDER BY s_name, s_suppkey LIMIT 20")
@@ -128,10 +131,62 @@ def read_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = _engine(spark, sf_dir)
     engine.sql("BEGIN; SET search_path TO x; COMMIT")
-    one, show = engine.query("SELECT 1::int").first()[0], engine.query("SHOW server_encoding").first()[0]
+    one, show = engine.query("SELECT 1::int").first()[0], engine.query("SHOW client_encoding").first()[0]
     return spark.createDataFrame([(one, show)], "one int, encoding string")
 
 
+def session_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, keys = _engine(spark, sf_dir), ("server_version", "server_version_num", "client_encoding", "datestyle", "standard_conforming_strings", "timezone", "server_encoding")
+    return spark.createDataFrame([(k, engine.query(f"SHOW {k}").first()[0]) for k in keys], "setting string, value string")
+
+
+def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _copy(spark, sf_dir)
+    engine.sql("INSERT INTO c (c_custkey, c_name, c_acctbal) VALUES ($1, $2, $3)", [-5, "O'Neil; DROP TABLE c", -1000.5])
+    return engine.query("SELECT c_custkey, c_name, c_acctbal FROM c WHERE c_acctbal < $2 OR c_name = $1", ["Customer#000000007", -990])
+
+
+def drop_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _copy(spark, sf_dir)
+    engine.sql("CREATE TABLE other (a INT); DROP TABLE c; CREATE TABLE c (c_custkey BIGINT); INSERT INTO c VALUES (1)")
+    return engine.tables().where("table_name in ('c', 'other')").join(engine.query("SELECT * FROM c"))
+
+
+def datetime_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their date in a DATETIME column (seconds), found by ISO timestamps."""
+    engine = _engine(spark, sf_dir)
+    engine.sql("CREATE TABLE d (o_orderkey BIGINT, at DATETIME)")
+    engine.append("d", engine.external["orders"].select("o_orderkey", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("at")))
+    return engine.query("SELECT o_orderkey FROM d WHERE at >= '1995-03-01' AND at < '1995-03-20 12:00:00'")
+
+
+def _ranged(spark: SparkSession, sf_dir: str) -> Engine:
+    engine = _engine(spark, sf_dir)
+    engine.sql(CUSTOMER)
+    engine.append("c", engine.external["customer"].repartitionByRange(8, "c_custkey").sortWithinPartitions("c_custkey"))
+    engine.analyze("c")
+    return engine
+
+
+FRACTIONS = "SELECT c_custkey FROM c WHERE c_custkey < 5.0000001 OR c_custkey >= 1400.0000001 AND c_custkey <= 1410.9999999 OR c_custkey > 1499.99999999"
+PARTS = "SELECT c_custkey, c_name FROM c WHERE c_name CONTAINS '00077' OR c_name STARTSWITH 'Customer#00000001'"
+
+
+def skip_fraction_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranged(spark, sf_dir).query(FRACTIONS)
+
+
+def skip_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranged(spark, sf_dir).query(PARTS)
+
+
+def skip_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that a change leaves alone keep their summaries; new ones are read until the next ``analyze``."""
+    engine = _ranged(spark, sf_dir)
+    engine.sql("UPDATE c SET c_custkey = 5000 WHERE c_custkey = 3; INSERT INTO c (c_custkey, c_name) VALUES (5001, 'new'); DELETE FROM c WHERE c_custkey > 4 AND c_custkey < 9")
+    return engine.query("SELECT c_custkey, c_name FROM c WHERE c_custkey < 12 OR c_custkey >= 5000")
+
+
 SKIP = "SELECT c_custkey, c_name FROM c WHERE c_custkey > 100 AND c_custkey <= 130 AND c_mktsegment STARTSWITH 'B' OR c_acctbal < -990"
 
 
@@ -151,6 +206,11 @@ def cache_equals_uncached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.query("SELECT * FROM c WHERE c_nationkey = 3")
 
 
+def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, c = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_size")
+    return part.select("p_partkey", maths.power(c, F.lit(3), "I16").alias("cube"), maths.power(c, F.lit(20), "I32").alias("held"), maths.root(F.col("p_retailprice"), F.lit(3), "I32").alias("cube_root"), maths.root(c, F.lit(2), "U8").alias("root"), maths.power(c, F.lit(2)).alias("squared"))
+
+
 def pow_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     return part.select("p_partkey", F.round(F.pow("p_size", F.lit(2))).cast("long").alias("squared"), F.round(F.pow("p_size", F.lit(0.5))).cast("long").alias("root"))
@@ -183,6 +243,39 @@ def _bounds(spark: SparkSession, sf_dir: str, low: int | None = None) -> DataFra
     return _ranges(spark, sf_dir, low).groupBy("user_id").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("cnt")) - F.min("start") + 5).alias("cnt"))
 
 
+def _thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third list of ranges: of all events, shifted and of other lengths."""
+    return _ranges(spark, sf_dir).select("user_id", (F.col("start") + 3).alias("start"), (F.col("start") % 25 + 1).alias("cnt"))
+
+
+def sample_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of any right sample: its size, rows of the table, the same again from the same rows in other order."""
+    rows = _lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"))
+    one, two = stats.sample(rows, "key", 4096), stats.sample(rows.repartition(7, "l_linenumber"), "key", 4096)
+    same = lambda df: df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("h"), F.count_distinct("l_orderkey").alias("orders"))
+    stray = one.join(rows, "key", "left_anti").count()
+    return same(one).join(same(two).select(F.col("h").alias("h2"))).select((F.col("orders") >= 1000).alias("varied"), "n", F.lit(stray == 0).alias("of_the_table"), (F.col("h") == F.col("h2")).alias("repeatable"))
+
+
+def rule_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules chosen on part prices, against the plain scores of their thresholds over the same rows."""
+    part = _part(spark, sf_dir).select("p_partkey", "p_retailprice")
+    part = stats.sample(part, "p_partkey", 4096).withColumn("all", F.lit(0))
+    rules = stats.threshold_rules(part, "p_retailprice", "p_partkey").collect()
+    plain = {(r.op, r.threshold): (r.runs, r.rows, r.score) for r in stats.threshold_scores(part, "p_retailprice", "p_partkey", ["all"], sorted({r.threshold for r in rules})).collect()}
+    n = part.count()
+    row = (len(rules) > 5, len(rules) <= 32, all(0 < r["rows"] <= max(0.05 * n, 16) for r in rules), all(plain[r.op, r.threshold] == (r.runs, r["rows"], r.score) for r in rules))
+    return spark.createDataFrame([row], "some boolean, few boolean, rare boolean, scored_alike boolean")
+
+
+def fingerprint_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _part(spark, sf_dir)
+    first, other = stats.fingerprint(part), stats.fingerprint(part.repartition(5, "p_size"))
+    changed = stats.fingerprint(part.withColumn("p_size", F.when(F.col("p_partkey") == 1, F.col("p_size") + 1).otherwise(F.col("p_size"))))
+    one = first.join(other.select(F.col("hash").alias("h2"))).join(changed.select(F.col("hash").alias("h3")))
+    return one.select("rows", (F.col("hash") == F.col("h2")).alias("order_does_not_matter"), (F.col("hash") != F.col("h3")).alias("a_value_does"))
+
+
 # Positions that a set of ranges covers, one row each: what the interval oracles count.
 _COVER = "SELECT DISTINCT user_id, p FROM (SELECT user_id, unnest(range(event_id, event_id + event_id % 40 + 1)) AS p FROM events WHERE event_id % 2 = {low})"
 _ISLANDS = "SELECT user_id, min(p) AS start, count(*) AS cnt FROM (SELECT user_id, p, p - row_number() OVER (PARTITION BY user_id ORDER BY p) AS g FROM ({cover})) GROUP BY user_id, g"
@@ -191,6 +284,10 @@ _BOUND = "SELECT user_id, min(event_id) AS s, max(event_id + event_id % 40 + 1)
 # The same of all events.
 _ALL = "SELECT DISTINCT user_id, p FROM (SELECT user_id, unnest(range(event_id, event_id + event_id % 40 + 1)) AS p FROM events)"
 _BOUND_ALL = "SELECT user_id, min(event_id) AS s, max(event_id + event_id % 40 + 1) + 5 AS e FROM events GROUP BY user_id"
+_THIRDS = "SELECT DISTINCT user_id, p FROM (SELECT user_id, unnest(range(event_id + 3, event_id + 3 + event_id % 25 + 1)) AS p FROM events)"
+_GAPS = [0, 5, 20, 100, 300, 400, 1000]
+_HOLES = f"SELECT start - lag(start + cnt) OVER (PARTITION BY user_id ORDER BY start) AS hole FROM ({_ISLANDS.format(cover=_ALL)})"
+_GAP_SQL = f"SELECT CAST(gap AS INTEGER) AS gap FROM (SELECT gap, sum(CASE WHEN hole <= gap THEN hole * 64 ELSE 24000 END) AS cost FROM ({_HOLES}), (SELECT unnest({_GAPS}) AS gap) GROUP BY gap) ORDER BY cost, gap LIMIT 1"
 
 _AFFIX = {k: f"SELECT feature, count(*) AS n FROM (SELECT {k}(p_type, k) AS feature FROM part, (SELECT unnest([1, 2, 3, 4, 6, 8, 12]) AS k) WHERE length(p_type) >= k) GROUP BY feature" for k in ("left", "right")}
 _GRAM = "SELECT feature, count(*) AS n FROM (SELECT unnest([substr(p_name, i, {size}) FOR i IN range(1, length(p_name) - {less})]) AS feature FROM part WHERE length(p_name) >= {size}) GROUP BY feature"
@@ -210,6 +307,14 @@ ANALYTICS: dict[str, tuple[Callable, str | None]] = {
     "read_last": (read_last, "SELECT event_id, user_id FROM events ORDER BY event_id DESC LIMIT 1"),
     "limit_only": (_statement("SELECT o_orderkey FROM orders LIMIT 10"), None),
     "session_constants": (session_constants, "SELECT 1 AS one, 'UTF8' AS encoding"),
+    "session_settings": (session_settings, "SELECT * FROM (VALUES ('server_version', '16.3'), ('server_version_num', '160003'), ('client_encoding', 'UTF8'), ('datestyle', 'ISO, MDY'), ('standard_conforming_strings', 'on'), ('timezone', 'UTC'), ('server_encoding', '')) AS t(setting, value)"),
+    "parameters": (parameters, "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal < -990 OR c_name = 'Customer#000000007' UNION ALL SELECT -5, 'O''Neil; DROP TABLE c', -1000.5"),
+    "drop_table": (drop_table, "SELECT t.table_name, t.n_columns, CAST(1 AS BIGINT) AS c_custkey FROM (VALUES ('c', 1), ('other', 1)) AS t(table_name, n_columns)"),
+    "datetime_column": (datetime_column, "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1995-03-20 12:00:00'"),
+    "skip_fraction_bound": (skip_fraction_bound, FRACTIONS.replace("FROM c ", "FROM customer ")),
+    "skip_contains": (skip_contains, "SELECT c_custkey, c_name FROM customer WHERE contains(c_name, '00077') OR starts_with(c_name, 'Customer#00000001')"),
+    "skip_after_changes": (skip_after_changes, "SELECT CASE WHEN c_custkey = 3 THEN 5000 ELSE c_custkey END AS c_custkey, c_name FROM customer WHERE c_custkey < 12 AND NOT (c_custkey > 4 AND c_custkey < 9) UNION ALL SELECT 5001, 'new'"),
+    "math_functions": (math_functions, "SELECT p_partkey, CAST(least(p_size ** 3, 32767) AS SMALLINT) AS cube, CAST(least(CAST(p_size AS DOUBLE) ** 20, 2147483647) AS INTEGER) AS held, CAST(round(cbrt(p_retailprice)) AS INTEGER) AS cube_root, CAST(round(sqrt(p_size)) AS SMALLINT) AS root, CAST(p_size AS DOUBLE) ** 2 AS squared FROM part"),
     "skip_equals_fullscan": (skip_equals_fullscan, SKIP.replace("FROM c ", "FROM customer ").replace("c_mktsegment STARTSWITH 'B'", "starts_with(c_mktsegment, 'B')")),
     "cache_equals_uncached": (cache_equals_uncached, f"SELECT {_COLUMNS} FROM customer WHERE c_nationkey = 3 AND c_custkey >= 20"),
     "pow_root": (pow_root, "SELECT p_partkey, CAST(p_size * p_size AS BIGINT) AS squared, CAST(round(sqrt(p_size)) AS BIGINT) AS root FROM part"),
@@ -224,6 +329,12 @@ ANALYTICS: dict[str, tuple[Callable, str | None]] = {
     "stats_trigram": (lambda s, d: stats.ngram_frequency(_part(s, d), "p_name", 3), _gram(3)),
     "stats_top_features": (lambda s, d: stats.top_features(_part(s, d), "p_type"), _TOP),
     "stats_blocks": (lambda s, d: stats.block_stats(_part(s, d), "p_partkey", ["p_size", "p_name"]).drop("p_name__first", "p_name__last"), "SELECT CAST(floor(p_partkey / 1024) AS BIGINT) AS block, count(*) AS rows, min(p_size) AS p_size__lo, max(p_size) AS p_size__hi, count(p_size) AS p_size__n, min(p_name) AS p_name__lo, max(p_name) AS p_name__hi, count(p_name) AS p_name__n, CAST(min(length(p_name)) AS INTEGER) AS p_name__short, CAST(max(length(p_name)) AS INTEGER) AS p_name__long FROM part GROUP BY 1"),
+    "stats_sample_properties": (sample_properties, "SELECT count(DISTINCT l_orderkey) >= 1000 AS varied, least(count(*), 4096) AS n, true AS of_the_table, true AS repeatable FROM lineitem"),
+    "stats_fingerprint_properties": (fingerprint_properties, "SELECT count(*) AS rows, true AS order_does_not_matter, true AS a_value_does FROM part"),
+    "rule_thresholds": (rule_thresholds, "SELECT true AS some, true AS few, true AS rare, true AS scored_alike"),
+    "rule_ranges_unbroken": (lambda s, d: intervals.runs_across(s.read.parquet(f"{d}/events.parquet").where("value < 50"), "event_id"), "SELECT min(event_id) AS start, count(*) AS cnt FROM (SELECT event_id, event_id - row_number() OVER (ORDER BY event_id) AS g FROM events WHERE value < 50) GROUP BY g"),
+    "ranges_intersect_many": (lambda s, d: intervals.intersect_many([_ranges(s, d, 0), _ranges(s, d, 1), _thirds(s, d)], ["user_id"]), _ISLANDS.format(cover=f"SELECT * FROM ({_A}) INTERSECT SELECT * FROM ({_B}) INTERSECT SELECT * FROM ({_THIRDS})")),
+    "ranges_cheapest_gap": (lambda s, d: s.createDataFrame([(intervals.cheapest_gap(_ranges(s, d), ["user_id"], _GAPS, 24_000, 64),)], "gap int"), _GAP_SQL),
     "stats_fingerprint": (lambda s, d: stats.fingerprint(_part(s, d)), None),
     "rule_scores": (lambda s, d: stats.threshold_scores(_rows(s, d), "value", "pos", ["user_id"], [10, 50]), _SCORE),
     "rule_ranges": (lambda s, d: intervals.runs(s.read.parquet(f"{d}/events.parquet").where("value < 50").withColumn("part", F.floor(F.col("event_id") / 1024)), ["part"], "event_id"), "SELECT part, min(event_id) AS start, count(*) AS cnt FROM (SELECT *, event_id - row_number() OVER (PARTITION BY part ORDER BY event_id) AS g FROM (SELECT event_id, CAST(floor(event_id / 1024) AS BIGINT) AS part FROM events WHERE value < 50)) GROUP BY part, g"),
