@@ -4,6 +4,7 @@ import datetime
 import difflib
 import hashlib
 import io
+import math
 import re
 import zlib
 
@@ -359,6 +360,47 @@ def test_trees():
     assert _boost.fit(x[:5], np.ones(5)).score(x[:2])[0] > 0.5 and _boost.fit(x[:0], y[:0]).score(x[:1])[0] == 0.5
 
 
+def test_trees_against_plain_loops():
+    """Fit and traversal as loops over rows, features and splits."""
+    rng = np.random.default_rng(14)
+    x = np.round(rng.random((240, 3)), 1)
+    y = ((x[:, 0] > 0.5) ^ (x[:, 2] > 0.6) ^ (rng.random(240) < 0.1)).astype(float)
+    trees, depth, rate, least, ridge, bins = 4, 3, 0.15, 10.0, 1.0, 64
+    edges = [sorted(set(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1], method="lower").tolist())) for c in x.T]
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    base = math.log(share / (1 - share))
+    raw, model = [base] * len(y), []
+
+    def grow(rows, g, h, level):
+        gt, ht = sum(g[i] for i in rows), sum(h[i] for i in rows)
+        if level == depth:
+            return -rate * gt / (ht + ridge)
+        best = (1e-6, None, math.inf)
+        for f in range(3):
+            for e in edges[f]:
+                left = [i for i in rows if x[i, f] <= e]
+                gl, hl = sum(g[i] for i in left), sum(h[i] for i in left)
+                if hl >= least / 4 and ht - hl >= least / 4:
+                    gain = gl**2 / (hl + ridge) + (gt - gl) ** 2 / (ht - hl + ridge) - gt**2 / (ht + ridge)
+                    best = max(best, (gain, f, e), key=lambda b: b[0])
+        _, f, e = best
+        left = [i for i in rows if f is None or x[i, f] <= e]
+        return f, e, grow(left, g, h, level + 1), grow([i for i in rows if i not in set(left)], g, h, level + 1)
+
+    def leaf(tree, row):
+        while isinstance(tree, tuple):
+            tree = tree[2] if tree[0] is None or row[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-r)) for r in raw]
+        model.append(grow(list(range(len(y))), [a - b for a, b in zip(p, y)], [a * (1 - a) for a in p], 0))
+        raw = [r + leaf(model[-1], row) for r, row in zip(raw, x)]
+    other = np.round(rng.random((100, 3)), 2)
+    want = [1 / (1 + math.exp(-(base + sum(leaf(t, row) for t in model)))) for row in other]
+    assert np.allclose(_boost.fit(x, y, trees=trees, depth=depth).score(other), want, rtol=0, atol=1e-9)
+
+
 # op6
 
 
@@ -481,6 +523,19 @@ def test_language_evidence_of_pages():
     assert got == [("www.example.co.uk", "uk"), ("10.0.0.1", None), ("::1", None), (None, None), (None, None), (None, None)]
 
 
+def test_language_suffix_decides_where_text_does_not(spark):
+    en, fr = "the of and to in that is was for with ", "le la les et des une dans pour que qui et"
+    rows = [(i, (en if i % 2 else fr) * 3, None, f"host{i}.{'uk' if i % 2 else 'fr'}", "uk" if i % 2 else "fr") for i in range(80)]
+    told = [(i, t, "en" if i % 2 else "fr", h, s) for i, t, _, h, s in rows]
+    # From all French to all English, each under a host of its own that nothing else is known of.
+    mixed = [" ".join(en.split()[:k] + fr.split()[k:]) for k in range(9)]
+    asked = [(100 + 2 * k + j, t, None, f"new{k}.{s}", s) for k, t in enumerate(mixed) for j, s in enumerate(("fr", "uk"))]
+    df = spark.createDataFrame(told + asked, "doc_id long, text string, lang string, host string, suffix string")
+    out = {r.doc_id: r.language for r in language_id.identify(df, languages=("en", "fr"), host_col="host", suffix_col="suffix").collect()}
+    pairs = [(out[100 + 2 * k], out[101 + 2 * k]) for k in range(9)]
+    assert pairs[0] == ("fr", "fr") and pairs[-1] == ("en", "en") and ("fr", "en") in pairs and ("en", "fr") not in pairs
+
+
 def test_language_found_where_declared_wrong(spark, docs):
     """Rows that declare another language than they are written in are identified all the same."""
     turn = {"de": "en", "en": "fr", "es": "de", "fr": "es"}
