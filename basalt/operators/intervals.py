@@ -29,33 +29,28 @@ def merge(ranges: DataFrame, by: list[str]) -> DataFrame:
 
 
 def intersect(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-    """Rows in both. Ranges are cut at multiples of a block, so the join has an equality to hash on."""
-    x, y = _blocked(merge(a, by), by, "1"), _blocked(merge(b, by), by, "2")
-    both = x.join(y, [*by, "_block"]).where("start1 < end2 and start2 < end1")
-    both = both.select(*by, F.greatest("start1", "start2").alias("start"), (F.least("end1", "end2") - F.greatest("start1", "start2")).alias("cnt"))
-    return merge(both.distinct(), by)
+    """Rows in both."""
+    return intersect_many([a, b], by)
 
 
 def intersect_many(lists: list[DataFrame], by: list[str]) -> DataFrame:
-    """Rows in every one of the lists, however many, in one pass; of no list, nothing is defined.
+    """Rows in every one of the lists, however many (at least one), merged.
 
-    A row is in all of n merged lists where n ranges hold it. Ranges are cut at multiples of a block, so
-    starts and ends are counted by key and block, and no key, however many ranges it has, is one task.
+    A sweep over all starts and ends of a key counts the open ranges of each list. The ends are shuffled
+    once, by key; all further steps keep that partitioning.
     """
-    if len(lists) == 1:
-        return merge(lists[0], by)
-    parts = [_blocked(merge(x, by), by, "1") for x in lists]
-    edge, whole = 1 << 16, parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    low, high = F.col("_block") * edge, (F.col("_block") + 1) * edge
-    cut = whole.select(*by, "_block", F.greatest("start1", low).alias("s"), F.least("end1", high).alias("e"))
-    marks = cut.select(*by, "_block", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("e").alias("at"), F.lit(-1).alias("d")))).alias("m"))
-    steps = marks.groupBy(*by, "_block", F.col("m.at").alias("at")).agg(F.sum("m.d").alias("d"))
-    w = Window.partitionBy(*by, "_block").orderBy("at")
-    depth = steps.withColumn("depth", F.sum("d").over(w)).withColumn("next", F.lead("at").over(w))
-    held = depth.where((F.col("depth") == len(lists)) & F.col("next").isNotNull())
-    return merge(held.select(*by, F.col("at").alias("start"), (F.col("next") - F.col("at")).alias("cnt")), by)
+    ends = None
+    for i, x in enumerate(lists):
+        sides = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(_end().alias("at"), F.lit(-1).alias("d")))
+        e = x.where("cnt > 0").select(*by, F.explode(sides).alias("m")).select(*by, F.col("m.at").alias("at"), *((F.col("m.d") if i == j else F.lit(0)).alias(f"_d{j}") for j in range(len(lists))))
+        ends = e if ends is None else ends.unionByName(e)
+    if by:
+        ends = ends.repartition(*by)
+    steps = ends.groupBy(*by, "at").agg(*(F.sum(f"_d{j}").alias(f"_d{j}") for j in range(len(lists))))
+    w = Window.partitionBy(*by).orderBy("at")
+    open_ = steps.select(*by, "at", F.lead("at").over(w).alias("_next"), *(F.sum(f"_d{j}").over(w).alias(f"_o{j}") for j in range(len(lists))))
+    held = open_.where(" and ".join(f"_o{j} > 0" for j in range(len(lists))))
+    return merge(held.select(*by, F.col("at").alias("start"), (F.col("_next") - F.col("at")).alias("cnt")), by)
 
 
 def cheapest_gap(ranges: DataFrame, by: list[str], gaps: list[int], per_range: int = 24, per_row: int = 64) -> int:
