@@ -20,6 +20,33 @@ from basalt import queries as core
 SF_DIR, CPUS = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
 
 
+def duckdb_seconds() -> dict[str, float]:
+    """The same questions in DuckDB on the same files and threads, results kept in a table; empty without DuckDB."""
+    try:
+        import duckdb
+    except ModuleNotFoundError:
+        return {}
+    con = duckdb.connect(config={"threads": int(CPUS)})
+    for t in core.TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_DIR}/{t}.parquet'")
+    oracle, took = core.oracle_sql(), {}
+    asked = {
+        "full_scan_filter": "SELECT * FROM lineitem WHERE l_extendedprice >= 100 AND l_discount < 0.09",
+        "string_filter": "SELECT p_partkey FROM part WHERE contains(p_name, 'a') AND starts_with(p_type, 'S')",
+        "selective_noskip": "SELECT l_orderkey, l_extendedprice FROM lineitem WHERE l_orderkey >= 1000 AND l_orderkey < 1200",
+        "topk": "SELECT l_orderkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC LIMIT 100",
+        "stats_minmax": oracle["stats_minmax"], "interval_merge": oracle["ranges_merge"], "interval_intersect": oracle["ranges_intersect"],
+    }
+    for name, sql in asked.items():
+        times = []
+        for _ in range(6):
+            t = time.perf_counter()
+            con.execute(f"CREATE OR REPLACE TEMP TABLE out AS {sql}")
+            times.append(time.perf_counter() - t)
+        took[name] = round(median(times[1:]), 4)
+    return took
+
+
 def main() -> None:
     folder = tempfile.mkdtemp()
     spark = (
@@ -63,7 +90,7 @@ def main() -> None:
     measure("selective_skip", lambda: run(engine.query(selective)))
     seconds = {k: round(median(v), 4) for k, v in took.items()}
     scale = re.search(r"sf([\d.]+)", SF_DIR)
-    print(json.dumps({"metric": "sum of median query seconds", "value": round(sum(seconds.values()), 4), "unit": "sec", "queries": seconds, "sf": float(scale[1]) if scale else None}))
+    print(json.dumps({"metric": "sum of median query seconds", "value": round(sum(seconds.values()), 4), "unit": "sec", "queries": seconds, "sf": float(scale[1]) if scale else None, "duckdb": duckdb_seconds()}))
     spark.stop()
     shutil.rmtree(folder, ignore_errors=True)
 
