@@ -120,6 +120,39 @@ def threshold_rules(df: DataFrame, column: str, position: str, rows: int = 4096,
     return df.sparkSession.createDataFrame([(op, float(distinct[i]), *rules[op, i], n) for n, (op, i) in enumerate(chosen, 1)], schema)
 
 
+def string_rules(df: DataFrame, column: str, position: str, rows: int = 4096, keep: int = 128) -> DataFrame:
+    """(op, value, count, runs, rows, score, rank): rules on a text column, made of its most frequent features.
+
+    The features are those of ``top_features``, over all rows: a prefix and a suffix make one rule each, a
+    character one for at least 1, 2, .. 5 occurrences, longer runs one for 1 and 2. Rules are scored on a sample of
+    at most ``rows`` rows, as in ``threshold_rules``: those that hold for no row or for more than RARE of the rows (16 at
+    least) go; then one after the other is taken whose runs x TEXT_RUN_COST + rows, and OVERLAP_COST for each
+    row that a rule already taken has, is least. Ties go to the operator, then the value, then the count.
+    """
+    schema = "op string, value string, count int, runs long, rows long, score long, rank int"
+    texts = [r.t for r in sorted(sample(df.select(F.col(position).alias("at"), F.col(column).alias("t")), "at", rows).collect(), key=lambda r: r["at"])]
+    ops = {"prefix": ("STARTSWITH", 1), "suffix": ("ENDSWITH", 1), "byte": ("CONTAINS", 5), "bigram": ("CONTAINS", 2), "trigram": ("CONTAINS", 2)}
+    left = {}
+    for f in top_features(df, column).collect():  # at most the sum of TOP
+        op, most = ops[f.kind]
+        for count in range(1, most + 1):
+            holds = {"STARTSWITH": lambda t: t.startswith(f.feature), "ENDSWITH": lambda t: t.endswith(f.feature)}.get(op, lambda t: t.count(f.feature) >= count)
+            hit = np.array([t is not None and holds(t) for t in texts], bool)
+            n = int(hit.sum())
+            if 0 < n <= max(RARE * len(texts), 16):
+                left[op, f.feature, count] = (hit, int(hit[0]) + int((hit[1:] & ~hit[:-1]).sum()), n)
+    taken, out = np.zeros(len(texts), bool), []
+    while left and len(out) < keep:
+        cost = {r: runs * TEXT_RUN_COST + n + OVERLAP_COST * int((hit & taken).sum()) for r, (hit, runs, n) in left.items()}
+        best = min(cost, key=lambda r: (cost[r], r))
+        hit, runs, n = left.pop(best)
+        taken |= hit
+        out.append((*best, runs, n, cost[best], len(out) + 1))
+    return df.sparkSession.createDataFrame(out, schema)
+
+
+# What a text rule costs for each run of rows, and for each row that an earlier one has.
+TEXT_RUN_COST, OVERLAP_COST = 256, 4
 # Shares of rows from which a rule counts double, and beyond which it is dropped.
 COMMON, RARE = 0.35, 0.05
 # What a rule costs for each run of rows and for each row.

@@ -268,6 +268,16 @@ def rule_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([row], "some boolean, few boolean, rare boolean, scored_alike boolean")
 
 
+def rule_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text rules of customer names, counted again by the predicates they stand for."""
+    c = stats.sample(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name"), "c_custkey", 4096)
+    rules, engine, n = stats.string_rules(c, "c_name", "c_custkey").collect(), Engine(spark), c.count()
+    engine.register("c", c)
+    again = [engine.query(f"SELECT c_custkey FROM c WHERE c_name {r.op} $1", [r.value]).count() for r in rules if r["count"] == 1][:10]
+    row = (len(rules) > 0, again == [r["rows"] for r in rules if r["count"] == 1][:10], all(0 < r["rows"] <= max(0.05 * n, 16) for r in rules), [r["rank"] for r in rules] == list(range(1, len(rules) + 1)))
+    return spark.createDataFrame([row], "some boolean, counted_alike boolean, rare boolean, ranked boolean")
+
+
 def fingerprint_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _part(spark, sf_dir)
     first, other = stats.fingerprint(part), stats.fingerprint(part.repartition(5, "p_size"))
@@ -332,6 +342,7 @@ ANALYTICS: dict[str, tuple[Callable, str | None]] = {
     "stats_sample_properties": (sample_properties, "SELECT count(DISTINCT l_orderkey) >= 1000 AS varied, least(count(*), 4096) AS n, true AS of_the_table, true AS repeatable FROM lineitem"),
     "stats_fingerprint_properties": (fingerprint_properties, "SELECT count(*) AS rows, true AS order_does_not_matter, true AS a_value_does FROM part"),
     "rule_thresholds": (rule_thresholds, "SELECT true AS some, true AS few, true AS rare, true AS scored_alike"),
+    "rule_strings": (rule_strings, "SELECT true AS some, true AS counted_alike, true AS rare, true AS ranked"),
     "rule_ranges_unbroken": (lambda s, d: intervals.runs_across(s.read.parquet(f"{d}/events.parquet").where("value < 50"), "event_id"), "SELECT min(event_id) AS start, count(*) AS cnt FROM (SELECT event_id, event_id - row_number() OVER (ORDER BY event_id) AS g FROM events WHERE value < 50) GROUP BY g"),
     "ranges_intersect_many": (lambda s, d: intervals.intersect_many([_ranges(s, d, 0), _ranges(s, d, 1), _thirds(s, d)], ["user_id"]), _ISLANDS.format(cover=f"SELECT * FROM ({_A}) INTERSECT SELECT * FROM ({_B}) INTERSECT SELECT * FROM ({_THIRDS})")),
     "ranges_cheapest_gap": (lambda s, d: s.createDataFrame([(intervals.cheapest_gap(_ranges(s, d), ["user_id"], _GAPS, 24_000, 64),)], "gap int"), _GAP_SQL),

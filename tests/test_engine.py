@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from basalt.errors import SqlError
 from basalt.functions import maths
-from basalt.operators import dml, skipping
+from basalt.operators import dml, skipping, stats
 from basalt.operators.cache import ResultCache
 from basalt.plans.parser import parse
 from basalt.session import Engine
@@ -250,3 +250,39 @@ def test_intervals_against_sets(spark):
     at = spark.createDataFrame([(i,) for i in range(60_000, 210_000) if i % 1000], "p long")
     whole = {(r.start, r.cnt) for r in I.runs_across(at.union(at.select((F.col("p") + 10**6).alias("p"))).union(spark.range(196_000, 197_000, 1000).selectExpr("id p")), "p").collect()}
     assert len(whole) == 299 and (195_001, 1999) in whole
+
+
+def test_string_rules_against_plain_loops(spark):
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abcxyz") for _ in range(rng.randrange(1, 9)))) for i in range(400)] + [(400 + i, None) for i in range(3)]
+    df = spark.createDataFrame(rows, "p long, t string")
+    got = stats.string_rules(df, "t", "p").collect()
+    top = [(r.kind, r.feature) for r in stats.top_features(df, "t").collect()]
+    rules = {}
+    for kind, f in top:
+        for c in range(1, {"byte": 5, "bigram": 2, "trigram": 2}.get(kind, 1) + 1):
+            holds = {"prefix": lambda t: t.startswith(f), "suffix": lambda t: t.endswith(f)}.get(kind, lambda t: t.count(f) >= c)
+            hit = {i for i, t in rows if t is not None and holds(t)}
+            if 0 < len(hit) <= max(0.05 * len(rows), 16):
+                rules[{"prefix": "STARTSWITH", "suffix": "ENDSWITH"}.get(kind, "CONTAINS"), f, c] = hit
+    want, taken = [], set()
+    while rules:
+        cost = {r: sum(i - 1 not in h for i in h) * 256 + len(h) + 4 * len(h & taken) for r, h in rules.items()}
+        best = min(cost, key=lambda r: (cost[r], r))
+        want.append((*best, cost[best]))
+        taken |= rules.pop(best)
+    assert len(want) > 10 and [(r.op, r.value, r["count"], r.score) for r in got] == want[:128]
+
+
+def test_threshold_rules_against_plain_loops(spark):
+    rng = random.Random(10)
+    x = [rng.choice([rng.gauss(0, 10), float(rng.randrange(5)), float("nan")]) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(x)), "p long, v double")
+    v = [a for a in x if a == a]
+    got = stats.threshold_rules(df, "v", "p").collect()
+    assert 5 < len(got) <= 32 and len({(r.op, r["rows"]) for r in got}) == len(got)
+    for r in got:
+        hit = [a < r.threshold if r.op == "<" else a > r.threshold for a in v]
+        assert (r["rows"], r.runs) == (sum(hit), sum(b and not a for a, b in zip([False, *hit], hit))) and r.threshold in v
+        assert r.score == 24 * r.runs + 64 * r["rows"] and r["rows"] <= max(0.05 * len(v), 16)
+    assert [r.score for r in got] == sorted(r.score for r in got)
