@@ -31,7 +31,7 @@ class Settings:
     a query reranked exactly; rows of a shard and queries that meet it at once; rows fitted on."""
 
     lists: int = 0
-    recall: float = 0.98
+    recall: float = 0.95
     parts: int = 16
     rerank: int = 256
     chunk: int = 8192
