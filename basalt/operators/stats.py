@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
 from functools import reduce
 
 import numpy as np
@@ -12,6 +14,8 @@ from pyspark.sql import types as T
 # Prefix and suffix lengths, and features kept of each kind.
 LENGTHS = (1, 2, 3, 4, 6, 8, 12)
 TOP = {"prefix": 12, "suffix": 12, "byte": 8, "bigram": 8, "trigram": 6}
+#: Accuracy of the quantile sketch.
+SKETCH = 10_000
 #: Rows of a block in windowed statistics, and characters looked at for n-grams.
 BLOCK_ROWS, NGRAM_CHARS = 1024, 256
 
@@ -33,10 +37,28 @@ def sample(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def quantiles(df: DataFrame, column: str, at: list[float], exact: bool = True) -> DataFrame:
-    """(p, value): discrete quantiles; ``exact`` off uses the mergeable sketch."""
-    f = (lambda p: F.expr(f"percentile_disc({p}) within group (order by {column})")) if exact else (lambda p: F.percentile_approx(column, p, 10_000))
-    row = df.agg(*(f(p).alias(f"q{i}") for i, p in enumerate(at)))
-    return row.select(F.inline(F.array(*(F.struct(F.lit(p).alias("p"), F.col(f"q{i}").alias("value")) for i, p in enumerate(at)))))
+    """(p, value): discrete quantiles, the smallest value with at least the share p of the rows up to it.
+
+    ``exact`` off takes those of the mergeable sketch, which are off by 1 / SKETCH of the rows at most. Otherwise the
+    sketch only brackets them: rows below each bracket are counted, and just its own values are ranked, so no
+    task sees all values of the column.
+    """
+    c = F.col(column)
+    if not exact:
+        row = df.agg(F.percentile_approx(c, [float(p) for p in at], SKETCH).alias("q"))
+        return row.select(F.inline(F.array(*(F.struct(F.lit(p).alias("p"), F.get("q", F.lit(i)).alias("value")) for i, p in enumerate(at)))))
+    edges = [x for p in at for x in (max(p - 3 / SKETCH, 0.0), min(p + 3 / SKETCH, 1.0))]
+    row = df.agg(F.count(c).alias("n"), F.percentile_approx(c, edges, SKETCH).alias("q")).first()
+    asked = df.sparkSession.createDataFrame([(i, float(p)) for i, p in enumerate(at)], "_i int, p double")
+    if not row.n:
+        return asked.select("p", F.lit(None).cast(df.schema[column].dataType).alias("value"))
+    lows, highs = row.q[::2], row.q[1::2]
+    below = df.agg(*(F.count_if(c < F.lit(lo)).alias(f"b{i}") for i, lo in enumerate(lows))).first()
+    ranks = F.array(*(F.lit(max(math.ceil(Decimal(repr(float(p))) * row.n), 1) - below[i]) for i, p in enumerate(at)))
+    held = df.select(F.explode(F.array_compact(F.array(*(F.when(c.between(F.lit(lo), F.lit(hi)), F.lit(i)) for i, (lo, hi) in enumerate(zip(lows, highs)))))).alias("_i"), c.alias("value"))
+    counted = held.groupBy("_i", "value").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_i").orderBy("value"))
+    return counted.withColumn("_upto", upto).where(F.col("_upto") >= F.element_at(ranks, F.col("_i") + 1)).groupBy("_i").agg(F.min("value").alias("value")).join(F.broadcast(asked), "_i").select("p", "value")
 
 
 def affix_frequency(df: DataFrame, column: str, kind: str, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:

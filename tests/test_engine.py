@@ -286,3 +286,13 @@ def test_threshold_rules_against_plain_loops(spark):
         assert (r["rows"], r.runs) == (sum(hit), sum(b and not a for a, b in zip([False, *hit], hit))) and r.threshold in v
         assert r.score == 24 * r.runs + 64 * r["rows"] and r["rows"] <= max(0.05 * len(v), 16)
     assert [r.score for r in got] == sorted(r.score for r in got)
+
+
+def test_quantiles_against_sorting(spark):
+    rng = random.Random(12)
+    for values in ([rng.gauss(0, 1) for _ in range(3001)], [float(rng.randrange(4)) for _ in range(500)], [7.0], []):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        at = [0.0, 0.001, 0.25, 0.5, 0.999, 1.0]
+        got = {r.p: r.value for r in stats.quantiles(df, "v", at).collect()}
+        order = sorted(values)
+        assert got == {p: order[max(-(-int(p * 1000) * len(order) // 1000), 1) - 1] if order else None for p in at}
