@@ -183,4 +183,8 @@ def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
     work = Scratch(docs.sparkSession, "token-shards")
     folder = work.path("shards")
     manifest = work.table(write_shards(docs, folder, tokenizer_path, end_id, id_col, text_col), "manifest")
+    # What tasks left that failed or were lost.
+    path, files = work._files(f"{folder}/_attempt-*")
+    for left in files.globStatus(path) or []:
+        files.delete(left.getPath(), False)
     return manifest, folder, read_shards(manifest, folder)
