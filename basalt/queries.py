@@ -258,10 +258,10 @@ def sample_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules chosen on part prices, against the plain scores of their thresholds over the same rows."""
-    part = _part(spark, sf_dir).select("p_partkey", "p_retailprice")
-    part = stats.sample(part, "p_partkey", 4096).withColumn("all", F.lit(0))
-    rules = stats.threshold_rules(part, "p_retailprice", "p_partkey").collect()
+    """The rules chosen for part prices, against the plain scores of their thresholds over the rows of the operator's sample."""
+    whole = _part(spark, sf_dir).select("p_partkey", "p_retailprice")
+    rules = stats.threshold_rules(whole, "p_retailprice", "p_partkey").collect()
+    part = stats.sample(whole, "p_partkey", 4096).withColumn("all", F.lit(0))
     plain = {(r.op, r.threshold): (r.runs, r.rows, r.score) for r in stats.threshold_scores(part, "p_retailprice", "p_partkey", ["all"], sorted({r.threshold for r in rules})).collect()}
     n = part.count()
     row = (len(rules) > 5, len(rules) <= 32, all(0 < r["rows"] <= max(0.05 * n, 16) for r in rules), all(plain[r.op, r.threshold] == (r.runs, r["rows"], r.score) for r in rules))
@@ -269,9 +269,10 @@ def rule_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text rules of customer names, counted again by the predicates they stand for."""
-    c = stats.sample(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name"), "c_custkey", 4096)
-    rules, engine, n = stats.string_rules(c, "c_name", "c_custkey").collect(), Engine(spark), c.count()
+    """The text rules of customer names, counted again by the predicates they stand for, over the operator's sample."""
+    whole = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
+    c = stats.sample(whole, "c_custkey", 4096)
+    rules, engine, n = stats.string_rules(whole, "c_name", "c_custkey").collect(), Engine(spark), c.count()
     engine.register("c", c)
     again = [engine.query(f"SELECT c_custkey FROM c WHERE c_name {r.op} $1", [r.value]).count() for r in rules if r["count"] == 1][:10]
     row = (len(rules) > 0, again == [r["rows"] for r in rules if r["count"] == 1][:10], all(0 < r["rows"] <= max(0.05 * n, 16) for r in rules), [r["rank"] for r in rules] == list(range(1, len(rules) + 1)))
