@@ -53,7 +53,7 @@ class ShardWriter:
         self.nulls.append(doc_id is None)
         self.counts.append(len(ids))
         for s in range(0, len(ids), FRAME_IDS):
-            part = ids[s : s + FRAME_IDS].astype(f"<u{self.width}")
+            part = ids[s : s + FRAME_IDS].astype(f"<u{self.width}", copy=False)
             self.pending.append(part)
             self.held += len(part)
             if self.held >= FRAME_IDS:
@@ -129,7 +129,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     def run(batches):
         writer = None
         enc = encoder(tokenizer_path)
-        end = np.array([end_id], "<u4")
+        end = np.array([end_id], "<u4").tobytes()
         width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         shard = TaskContext.get().partitionId()
         total = n = 0
@@ -138,15 +138,20 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
                 ids, texts = (c.to_pylist() for c in batch.slice(s, 2048).columns[:2])
                 texts = [t or "" for t in texts]
                 for lo, hi in groups(texts):
-                    for doc_id, raw in zip(ids[lo:hi], enc.encode(texts[lo:hi])):
-                        if writer is None:
-                            files, base = _open(folder)
-                            files.create_dir(base, recursive=True)
-                            attempt = f"{base}/_attempt-{shard:07d}-{TaskContext.get().taskAttemptId()}"
-                            writer = ShardWriter(files.open_output_stream(attempt), width, level)
-                        row = np.concatenate((np.frombuffer(raw, "<u4"), end))
-                        writer.add(doc_id, row)
-                        total, n = total + len(row), n + 1
+                    if writer is None:
+                        files, base = _open(folder)
+                        files.create_dir(base, recursive=True)
+                        attempt = f"{base}/_attempt-{shard:07d}-{TaskContext.get().taskAttemptId()}"
+                        writer = ShardWriter(files.open_output_stream(attempt), width, level)
+                    raws = enc.encode(texts[lo:hi])
+                    # The ids of all documents at once, each with its end id.
+                    whole = np.frombuffer(end.join([*raws, b""]), "<u4").astype(f"<u{width}", copy=False)
+                    at = 0
+                    for doc_id, raw in zip(ids[lo:hi], raws):
+                        k = len(raw) // 4 + 1
+                        writer.add(doc_id, whole[at : at + k])
+                        at += k
+                    total, n = total + at, n + len(raws)
         if writer is not None:
             writer.close()
             writer.stream.close()
