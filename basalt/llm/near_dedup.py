@@ -151,7 +151,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = banded.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
     members = work.table(banded.join(buckets, ["band", "key"]).select("band", "key", "id", "n", "hub", "size"), "members")
     wanted = members.select("id").distinct()
-    texts = docs.join(wanted.withColumnRenamed("id", id_col), id_col, "left_semi")
+    # Hashed on the side of the ids, at every size: no text is sorted, and the plan does not change as the input grows.
+    texts = docs.join(wanted.withColumnRenamed("id", id_col).hint("shuffle_hash"), id_col, "left_semi")
     sets = work.table(shingle_table(texts, id_col, text_col, k, None).dropDuplicates(["id"]), "sets")
 
     # Smallest hub of each member; then, in another component, each bucket's member that meets most

@@ -481,6 +481,27 @@ def test_near_duplicates_edges(spark, docs):
     assert near_dedup.near_duplicates(docs.where("false")).count() == 0
 
 
+def plans_of(monkeypatch, module):
+    """The plans of the tables that an operator of ``module`` writes from here on, by label."""
+    plans, table = {}, module.Scratch.table
+    monkeypatch.setattr(module.Scratch, "table", lambda self, df, label: (plans.update({label: df._jdf.queryExecution().executedPlan().toString()}), table(self, df, label))[1])
+    return plans
+
+
+def test_near_duplicates_texts_are_hashed_at_every_size(spark, docs, monkeypatch):
+    """The join that fetches texts neither broadcasts at small sizes nor sorts texts at large ones."""
+    plans = plans_of(monkeypatch, near_dedup)
+    for most in ("-1", "10MB"):
+        old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            assert near_dedup.near_duplicates(docs).count() == docs.count()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        joins = re.findall(r"\w+Join \[[^\n]*", plans["sets"])
+        assert len(joins) == 1 and joins[0].startswith("ShuffledHashJoin") and "LeftSemi, BuildRight" in joins[0], joins
+
+
 def test_setsketch_estimates():
     s = near_dedup.Sketch(bands=64)
     rng = np.random.default_rng(3)
