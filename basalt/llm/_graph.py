@@ -1,6 +1,7 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-Each round is two grouped minima and two joins; nothing is collected. A node with
+Each round is two grouped minima and two joins; nothing is collected, and nothing is broadcast: many
+rounds of small tables would fill the driver, which collects and keeps each one. A node with
 very many edges only makes one side of a join skewed, which AQE splits.
 """
 
@@ -24,9 +25,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str) -> Data
     while True:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(low.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         turn += 1
         e = scratch.table(small.union(low.select("a", "m")).distinct(), f"{label}-{turn}")
         scratch.drop(f"{label}-{turn - 1}")

@@ -502,6 +502,15 @@ def test_near_duplicates_texts_are_hashed_at_every_size(spark, docs, monkeypatch
         assert len(joins) == 1 and joins[0].startswith("ShuffledHashJoin") and "LeftSemi, BuildRight" in joins[0], joins
 
 
+def test_components_broadcast_nothing(spark, tmp_path, monkeypatch):
+    plans = plans_of(monkeypatch, near_dedup)
+    edges = spark.range(40).selectExpr("id as src", "id + 1 as dst")
+    edges.write.parquet(str(tmp_path / "edges"))
+    found = connected_components(spark.read.parquet(str(tmp_path / "edges")), Scratch(spark, "test-cc"), "cc")
+    assert {(r.id, r.component) for r in found.collect()} == {(i, 0) for i in range(41)}
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans.values())
+
+
 def test_setsketch_estimates():
     s = near_dedup.Sketch(bands=64)
     rng = np.random.default_rng(3)
