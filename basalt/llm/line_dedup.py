@@ -15,7 +15,7 @@
    the line at its start, in its middle and at its end. By the pigeonhole principle, longer lines that differ
    in up to two changed words, or one added or missing, share such a key; short ones, if they differ
    in one word or in both ends.
-5. Members of a key are compared with its hub, the most frequent class; those that stay in other components
+5. Members of a key are compared with its hub, the class that most others meet; those that stay in other components
    are compared with each other, each pair in the first key it shares, if the fingerprints of longer lines
    differ in at most ``hamming`` bits and their lengths do not rule it out.
 6. Edit similarity 1 - distance / longer length confirms a pair: over characters, or if one line has more
@@ -150,8 +150,10 @@ def _close(pairs: DataFrame, share: float) -> DataFrame:
     without it whose differing middles are short enough, or whose words differ little one by one.
     """
     most = F.floor(F.greatest(F.length("p"), F.length("q")) * (1 - share) + 1e-9).cast("int")
-    cut = pairs.withColumn("most", most).where(F.abs(F.length("p") - F.length("q")) <= F.col("most")).withColumn("core", _core(F.col("p"), F.col("q")))
-    p, q = F.col("core.p"), F.col("core.q")
+    cut = pairs.withColumn("most", most).where(F.abs(F.length("p") - F.length("q")) <= F.col("most"))
+    # Generated, since a plain column would go into the condition and be computed anew wherever it is named there.
+    cut = cut.select("src", "dst", "most", F.inline(F.array(_core(F.col("p"), F.col("q")))))
+    p, q = F.col("p"), F.col("q")
     one, two = F.split(p, " "), F.split(q, " ")
     word = lambda x, y: F.when(x == y, F.lit(0)).otherwise(F.levenshtein(x, y))
     aligned = F.aggregate(F.zip_with(one, two, word), F.lit(0), lambda n, x: n + x)
@@ -185,15 +187,20 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, min_words: int, share:
     seen = work.table(prepared(docs, id_col, text_col, min_words).withColumn("row", F.monotonically_increasing_id()), "lines")
     facts, keys = ["n", "words", "sim"], [f"c{i}" for i in range(KEYS)]
     classes = seen.groupBy("k1", "k2").agg(F.count("*").alias("times"), *(F.min(c).alias(c) for c in ["row", *facts, *keys]))
-    # The number of a class: how frequent it is (a power of four), then its hash; so the largest of a key is its hub.
+    # The number of a class: how frequent it is (a power of four), then its hash; so of members that are met
+    # equally often the most frequent is the hub.
     level = F.least(F.floor(F.log2("times") / 2), F.lit(15)).cast("long")
     classes = work.table(classes.withColumn("id", F.shiftleft(level, 59).bitwiseOR(F.shiftrightunsigned("k1", 5))), "classes")
     held = F.array(*keys)
 
-    # (key, id, hub) of the keys that more than one class has.
-    banded = classes.select("id", F.explode(held).alias("key")).where("key is not null")
-    hubs = banded.groupBy("key").agg(F.max("id").alias("hub"), F.min("id").alias("low")).where("hub <> low").drop("low")
-    members = work.table(banded.join(hubs.hint("shuffle_hash"), "key"), "members")
+    # (key, id, size) of the keys that more than one class has; dealt by key once, for the count and for the join.
+    banded = classes.select("id", F.explode(held).alias("key")).where("key is not null").repartition("key")
+    shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = work.table(banded.join(shared.hint("shuffle_hash"), "key"), "members")
+
+    # One row for each class that shares a key: its facts and keys, what edits are counted on, and how many meet it.
+    weights = members.groupBy("id").agg(F.sum("size").alias("weight")).join(classes.select("id", "row", *facts, held.alias("keys")), "id")
+    faces = work.table(seen.select("row", "norm", "codes").join(weights.hint("shuffle_hash"), "row").drop("row"), "faces")
 
     # Lengths that differ by more than the edits allowed can't pass _close.
     differ = lambda c, s: F.abs(F.col(f"{c}1") - F.col(f"{c}2")) <= F.floor(F.greatest(f"{c}1", f"{c}2") * s + 1e-9)
@@ -201,17 +208,15 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, min_words: int, share:
     alike = F.when(F.greatest("n1", "n2") <= LONG, differ("n", 1 - share)).otherwise(differ("words", 1 - share) & differ("n", 0.2))
     alike = alike & ((F.least("words1", "words2") < BLOCKED) | (bits <= hamming))
     of = lambda i, *more: [*(F.col(c).alias(f"{c}{i}") for c in facts), *more]
-    first = members.where("id <> hub").select(F.col("id").alias("src"), F.col("hub").alias("dst")).distinct()
-    first = first.join(classes.select(F.col("id").alias("src"), *of(1)), "src").join(classes.select(F.col("id").alias("dst"), *of(2)), "dst").where(alike)
-    tried = work.table(first.select("src", "dst"), "pairs-1")
-
-    # What edits are counted on, one row for each class that shares a key.
-    wanted = members.select("id").distinct().join(classes.select("id", "row"), "id")
-    texts = work.table(seen.select("row", "norm", "codes").join(wanted.hint("shuffle_hash"), "row").drop("row"), "texts")
+    # The hub of a key is the member that most others meet over all its keys, so the one that most are near to.
+    met = work.table(members.join(faces.select("id", "weight", *facts), "id").select("key", "id", "weight", *facts), "met")
+    hubs = met.groupBy("key").agg(F.max(F.struct("weight", "id", *facts)).alias("hub")).select("key", F.col("hub.id").alias("dst"), *(F.col(f"hub.{c}").alias(f"{c}2") for c in facts))
+    first = met.select("key", *of(1, F.col("id").alias("src"))).join(hubs, "key").where((F.col("src") != F.col("dst")) & alike)
+    tried = work.table(first.select("src", "dst").distinct(), "pairs-1")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(texts.select(F.col("id").alias("src"), F.col("norm").alias("norm1"), F.col("codes").alias("codes1")), "src")
-        both = left.join(texts.select(F.col("id").alias("dst"), F.col("norm").alias("norm2"), F.col("codes").alias("codes2")), "dst")
+        left = pairs.join(faces.select(F.col("id").alias("src"), F.col("norm").alias("norm1"), F.col("codes").alias("codes1")), "src")
+        both = left.join(faces.select(F.col("id").alias("dst"), F.col("norm").alias("norm2"), F.col("codes").alias("codes2")), "dst")
         # The kind of signature is chosen for the pair: words for both lines if either is long.
         chars = F.col("norm1").isNotNull() & F.col("norm2").isNotNull()
         pick = lambda i: F.when(chars, F.col(f"norm{i}")).otherwise(F.col(f"codes{i}"))
@@ -219,16 +224,16 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, min_words: int, share:
 
     links = work.table(confirmed(tried), "links-1")
     found = connected_components(links, work, "cc-1")
-    comp = members.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
-    mixed = members.select("key", "id").join(work.table(comp, "comp"), "id")
+    comp = faces.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
+    mixed = met.drop("weight").join(work.table(comp, "comp"), "id")
     open_ = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    mixed = mixed.join(open_.select("key"), "key").join(classes.select("id", *facts, held.alias("keys")), "id")
+    mixed = mixed.join(open_.select("key"), "key").join(faces.select("id", "keys"), "id")
     one, two = (mixed.select("key", *of(i, F.col("id").alias(f"id{i}"), F.col("keys").alias(f"keys{i}"), F.col("comp").alias(f"comp{i}"))) for i in (1, 2))
     across = one.join(two, "key").where((F.col("id1") > F.col("id2")) & (F.col("comp1") != F.col("comp2")) & alike & (F.array_min(F.array_intersect("keys1", "keys2")) == F.col("key")))
     across = across.select(F.col("id1").alias("src"), F.col("id2").alias("dst")).distinct()
     tried = tried.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
     links = work.table(links.union(confirmed(work.table(across.join(tried, ["src", "dst"], "left_anti"), "pairs-2"))), "links-2")
-    for label in ("members", "texts", "comp", "pairs-1", "pairs-2", "links-1"):
+    for label in ("members", "faces", "met", "comp", "pairs-1", "pairs-2", "links-1"):
         work.drop(label)
     found = connected_components(links, work, "cc-2")
 

@@ -742,6 +742,30 @@ def test_line_dedup_scattered_changes(spark):
     assert min(v for (_, changes), v in recall.items() if changes <= 2) >= 0.9 and min(v for (n, _), v in recall.items() if n >= 40) >= 0.8
 
 
+def test_line_dedup_hub_is_what_most_are_near_to(spark, monkeypatch):
+    """Variants that are alike to one line but not to each other need no comparison across components."""
+    rng = np.random.default_rng(24)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvw"), 8))
+    base = [word() for _ in range(20)]
+    rows = [(1, " ".join(base))]
+    for d in range(2, 62):
+        twin = list(base)
+        for i in rng.choice(20, 2, replace=False):
+            twin[i] = word()
+        rows.append((d, " ".join(twin)))
+    table, pairs = line_dedup.Scratch.table, {}
+
+    def counted(self, df, label):
+        out = table(self, df, label)
+        if label.startswith("pairs"):
+            pairs[label] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup.Scratch, "table", counted)
+    assert {r.doc_id for r in line_dedup.removed_lines(odd(spark, *rows)).collect()} == set(range(2, 62))
+    assert pairs == {"pairs-1": 60, "pairs-2": 0}
+
+
 def test_line_dedup_names_and_edges(spark):
     """Columns that clash with the operator's own are replaced or left alone; odd rows give defined results."""
     assert line_dedup.dedup_lines(odd(spark)).count() == 0
