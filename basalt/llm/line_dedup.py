@@ -15,9 +15,10 @@
    the line at its start, in its middle and at its end. By the pigeonhole principle, longer lines that differ
    in up to two changed words, or one added or missing, share such a key; short ones, if they differ
    in one word or in both ends.
-5. Members of a key are compared with its hub, the class that most others meet; those that stay in other components
-   are compared with each other, each pair in the first key it shares, if the fingerprints of longer lines
-   differ in at most ``hamming`` bits and their lengths do not rule it out.
+5. Members of a key are compared with its hub, the class that most others meet; those that stay outside of the component
+   that most of the key are in with up to ``PROBES`` more of that one, and all that still are in different components
+   with each other, each pair in the first key it shares, if the fingerprints of longer lines differ in at most
+   ``hamming`` bits and their lengths do not rule it out.
 6. Edit similarity 1 - distance / longer length confirms a pair: over characters, or if one line has more
    than ``LONG`` characters over words (one of ``CODES`` characters stands for each word; lengths in
    characters may then differ by a fifth).
@@ -26,7 +27,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.llm._graph import connected_components
@@ -48,6 +49,8 @@ LONG = 1024
 CODES = 41_984
 #: Keys of a class at most: three runs and SHORT + 2 without some words (or, of longer lines, blocks and three more runs).
 KEYS = SHORT + 5
+#: Members of a key's main component that the others are compared with before all.
+PROBES = 16
 #: Bits 0, 8, .. 48 of a word's hash are its votes; counts of up to 127 words fit in the lanes between them.
 _LANES = sum(1 << 8 * j for j in range(VOTES))
 
@@ -212,7 +215,9 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, min_words: int, share:
     met = work.table(members.join(faces.select("id", "weight", *facts), "id").select("key", "id", "weight", *facts), "met")
     hubs = met.groupBy("key").agg(F.max(F.struct("weight", "id", *facts)).alias("hub")).select("key", F.col("hub.id").alias("dst"), *(F.col(f"hub.{c}").alias(f"{c}2") for c in facts))
     first = met.select("key", *of(1, F.col("id").alias("src"))).join(hubs, "key").where((F.col("src") != F.col("dst")) & alike)
-    tried = work.table(first.select("src", "dst").distinct(), "pairs-1")
+    ordered = lambda x, y: (F.greatest(x, y).alias("src"), F.least(x, y).alias("dst"))
+    tried = work.table(first.select(*ordered("src", "dst")).distinct(), "pairs-1")
+    work.drop("members")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = pairs.join(faces.select(F.col("id").alias("src"), F.col("norm").alias("norm1"), F.col("codes").alias("codes1")), "src")
@@ -222,27 +227,51 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, min_words: int, share:
         pick = lambda i: F.when(chars, F.col(f"norm{i}")).otherwise(F.col(f"codes{i}"))
         return _close(both.select("src", "dst", pick(1).alias("p"), pick(2).alias("q")), share)
 
-    links = work.table(confirmed(tried), "links-1")
-    found = connected_components(links, work, "cc-1")
-    comp = faces.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
-    mixed = met.drop("weight").join(work.table(comp, "comp"), "id")
-    open_ = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    mixed = mixed.join(open_.select("key"), "key").join(faces.select("id", "keys"), "id")
-    one, two = (mixed.select("key", *of(i, F.col("id").alias(f"id{i}"), F.col("keys").alias(f"keys{i}"), F.col("comp").alias(f"comp{i}"))) for i in (1, 2))
-    across = one.join(two, "key").where((F.col("id1") > F.col("id2")) & (F.col("comp1") != F.col("comp2")) & alike & (F.array_min(F.array_intersect("keys1", "keys2")) == F.col("key")))
-    across = across.select(F.col("id1").alias("src"), F.col("id2").alias("dst")).distinct()
-    tried = tried.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    links = work.table(links.union(confirmed(work.table(across.join(tried, ["src", "dst"], "left_anti"), "pairs-2"))), "links-2")
-    for label in ("members", "faces", "met", "comp", "pairs-1", "pairs-2", "links-1"):
-        work.drop(label)
-    found = connected_components(links, work, "cc-2")
+    found = connected_components(work.table(confirmed(tried), "links-1"), work, "cc-1")
+    comp = faces.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), F.col("component").isNotNull().alias("linked"))
+    comp = work.table(comp, "comp")
+
+    def between(links: DataFrame) -> DataFrame:
+        """The (src, dst) of the components that ``links`` join."""
+        ends = links.join(comp.select(F.col("id").alias("src"), F.col("comp").alias("a")), "src").join(comp.select(F.col("id").alias("dst"), F.col("comp").alias("b")), "dst")
+        return ends.select(*ordered("a", "b")).distinct()
+
+    # Members of keys that hold several components, with the component that most of a key's members are in.
+    mixed = met.join(comp.drop("linked"), "id")
+    held_by = mixed.groupBy("key", "comp").agg(F.count("*").alias("most")).groupBy("key").agg(F.max(F.struct("most", "comp")).alias("top"), F.count("*").alias("comps"))
+    mixed = mixed.join(held_by.where("comps > 1").select("key", F.col("top.comp").alias("main"), F.col("top.most").alias("most")), "key")
+    mixed = work.table(mixed.join(faces.select("id", "keys"), "id"), "mixed")
+    work.drop("met")
+    side = lambda df, i, *more: df.select("key", *of(i, *(F.col(c).alias(f"{c}{i}") for c in ("id", *more))))
+    rest = mixed.where("comp <> main")
+
+    # Where many are in that component, the others meet PROBES more of its members first: one link spares the pairs with all.
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), F.desc("id")))
+    heads = mixed.where((F.col("comp") == F.col("main")) & (F.col("most") > PROBES)).withColumn("rank", rank).where(F.col("rank") <= PROBES)
+    probes = side(rest, 1).join(side(heads, 2), "key").where(alike).select(*ordered("id1", "id2")).distinct()
+    probes = work.table(probes.join(tried, ["src", "dst"], "left_anti"), "probes")
+    joined = work.table(between(confirmed(probes)), "links-2")
+    # A component goes by the smallest one it is linked to, so equal labels are one component.
+    label = joined.groupBy(F.col("src").alias("comp")).agg(F.min("dst").alias("label"))
+    mixed = mixed.join(label, "comp", "left").withColumn("label", F.coalesce("label", "comp"))
+
+    # All other pairs across components; those of the main one are not paired with each other.
+    across = side(mixed.where("comp <> main"), 1, "keys", "label").join(side(mixed, 2, "keys", "label", "comp", "main"), "key")
+    across = across.where((F.col("label1") != F.col("label2")) & ((F.col("comp2") == F.col("main2")) | (F.col("id1") > F.col("id2"))) & alike & (F.array_min(F.array_intersect("keys1", "keys2")) == F.col("key")))
+    across = across.select(*ordered("id1", "id2")).join(tried.union(probes), ["src", "dst"], "left_anti")
+    joined = work.table(joined.union(between(confirmed(work.table(across, "pairs-2")))), "links-3")
+    for name in ("faces", "mixed", "pairs-1", "probes", "pairs-2", "links-1", "links-2"):
+        work.drop(name)
+    # Only components are joined further, so the second search is small.
+    merged = connected_components(joined, work, "cc-2").select(F.col("id").alias("comp"), "component")
+    found = comp.join(merged, "comp", "left").where("linked or component is not null").select("id", F.coalesce("component", "comp").alias("component"))
 
     # Occurrences of every group of more than one line; all but the first go.
     grouped = classes.select("k1", "k2", "id", "times").join(found, "id", "left").where("times > 1 or component is not null")
     grouped = grouped.select("k1", "k2", F.coalesce("component", "k1").alias("g"), F.when(F.col("component").isNull(), F.col("k2")).alias("g2"))
     occurs = work.table(seen.select("doc_id", "line_no", "k1", "k2").join(grouped, ["k1", "k2"]).select("doc_id", "line_no", "g", "g2"), "occurs")
-    for label in ("lines", "classes", "links-2"):
-        work.drop(label)
+    for name in ("lines", "classes", "comp", "links-3"):
+        work.drop(name)
     stays = occurs.groupBy("g", "g2").agg(F.min(F.struct("doc_id", "line_no")).alias("stay"))
     gone = occurs.join(stays, (occurs.g == stays.g) & occurs.g2.eqNullSafe(stays.g2)).where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("stay")))
     return gone.select("doc_id", "line_no").where("doc_id is not null")

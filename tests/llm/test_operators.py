@@ -766,6 +766,33 @@ def test_line_dedup_hub_is_what_most_are_near_to(spark, monkeypatch):
     assert pairs == {"pairs-1": 60, "pairs-2": 0}
 
 
+def test_line_dedup_stragglers_meet_a_few_first(spark, monkeypatch):
+    """Lines that are alike to some of a large group, but not to its hub, aren't compared with all of it."""
+    rng = np.random.default_rng(25)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvw"), 8))
+    base, kinds, rows = [word() for _ in range(24)], [word() for _ in range(4)], []
+    for d in range(200):
+        twin = list(base)
+        twin[d % 4] = kinds[d % 4]
+        if d < 160:  # any two are alike: two words and two letters differ at most
+            at, letter = 4 + d // 4 % 2, d // 8 % 8
+            twin[at] = twin[at][:letter] + "xyz"[d // 64] + twin[at][letter + 1 :]
+        else:  # only alike to those of its kind
+            twin[8:10] = [word(), word()]
+        rows.append((d, " ".join(twin)))
+    table, pairs = line_dedup.Scratch.table, {}
+
+    def counted(self, df, label):
+        out = table(self, df, label)
+        if label in ("pairs-1", "probes", "pairs-2"):
+            pairs[label] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup.Scratch, "table", counted)
+    assert {r.doc_id for r in line_dedup.removed_lines(odd(spark, *rows)).collect()} == set(range(1, 200))
+    assert pairs["pairs-2"] == 0 and pairs.get("probes", 0) <= 40 * line_dedup.PROBES
+
+
 def test_line_dedup_names_and_edges(spark):
     """Columns that clash with the operator's own are replaced or left alone; odd rows give defined results."""
     assert line_dedup.dedup_lines(odd(spark)).count() == 0
